@@ -3,19 +3,21 @@
 A document's set is its distinct 5-word shingles, each a 64-bit hash.  The join runs on *classes*
 (documents with equal sets) and goes:
 
-1. one scan gives each document's set size, set signature and minima, and a fixed-size sketch of
-   how often each token occurs in the corpus;
-2. *groups*: classes that share a pair of one-permutation minima are compared exactly with the
-   first class of that bucket; the links found partition similar classes into groups;
-3. *token-group matrix*: every class emits the rarest part of its set, long enough that linked
-   sets share at least ``l`` tokens of it; a token's row lists the groups whose token union has it;
-4. a query class counts, for every other group, the tokens of its part that lie in the group's
-   union; the count bounds the overlap with each member, and only groups that reach the required
-   count are opened;
-5. members of opened groups are compared exactly, and components are taken over all links.
-
-Frequency only orders the tokens, so its sketch affects speed and never the result.  No pair is
-emitted inside a group that step 2 has already connected.
+1. one scan gives each document's set size and signature, and a fixed-size sketch of how often each
+   token occurs in the corpus;
+2. every class emits the rarest part of its set, long enough that linked sets share at least ``l``
+   tokens of it; tokens of a single class drop out at once;
+3. *groups*: classes whose most shared token is the same one are dealt, in two different ways, into
+   blocks of bounded size and compared within the blocks; classes linked there form one group, what
+   stays unlinked is grouped by its block, and a class without a much-shared token stands alone;
+4. *token-group matrix*: a token's row lists the groups whose token union has it; a query class counts,
+   for every other group, the tokens of its rare part that lie in the group's union.  The count bounds
+   the overlap with each member, so only groups that reach the required count are opened;
+5. opened groups are compared with their queries, part by part, and components are taken over all links.
+
+Frequency only orders the tokens, so its sketch affects speed and never the result.  Sets meet in
+blocks, as products of incidence matrices; a block reports a spanning forest of its links, so no
+group's pairs are ever emitted, and nothing is compared inside a group that is already connected.
 
 Defined results: null or wordless texts have an empty set and link with nothing; a text of one to
 four words has its whole word sequence as its one shingle; equal texts share a class; repeated rows
@@ -31,38 +33,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import connected_components, discard, emit_segments, fold_segments, materialize, partitions
+from fathom.llm.common import connected_components, discard, emit_segments, fold_segments, materialize, partitions, spanning_edges
 from fathom.llm.shingles import mix, row_sets
 
 #: Counters of the frequency sketch; a parameter of cost, not of the result.
 SKETCH_BITS = 21
 #: A class emits 1/16 of its set beyond the shortest safe part, and so must share that much more.
 EXTRA = 16
-_BINS = 8
-_EDGES = (np.arange(_BINS, dtype=np.uint64) << np.uint64(61)).astype(np.uint64)
-_BANDS = _BINS // 2
+#: A token of so many classes is much shared: it draws its classes into blocks of this size.
+HOT, BLOCK = 32, 256
+#: Visitors compared at once, and columns of an incidence matrix.
+_VISITORS, _COLUMNS = 512, 4096
 #: Entries gathered in a task before they are packed into rows.
 _FLUSH = 1 << 20
 
 
-def _signature(own: np.ndarray) -> tuple[int, int]:
+def _signature(own: np.ndarray) -> int:
+    """64 bits of the whole set, the same for equal sets in any order."""
     mixed = mix(own)
-    return int(np.add.reduce(mixed).view(np.int64)), int(np.bitwise_xor.reduce(mixed).view(np.int64))
-
-
-def _band_keys(own: np.ndarray) -> list[int]:
-    """Keys of four pairs of bin minima (an empty bin counts as its upper end)."""
-    at = np.searchsorted(own, _EDGES)
-    low = np.where(at < len(own), own[np.minimum(at, len(own) - 1)], np.uint64(0xFFFFFFFFFFFFFFFF))
     with np.errstate(over="ignore"):
-        pair = mix(low[0::2] * np.uint64(3) + np.uint64(1)) + mix(low[1::2])
-    return pair.view(np.int64).tolist()
+        both = np.add.reduce(mixed) * np.uint64(3) + np.bitwise_xor.reduce(mixed)
+    return int(mix(np.array([both]))[0].view(np.int64))
 
 
 def _profile(batches):
-    """Per document: id, set size, signatures, band keys; at the end this task's sketch."""
-    names = ["doc_id", "n", "sig", "sig2", *(f"band{k}" for k in range(_BANDS)), "seg", "payload"]
-    kinds = [pa.int64()] * (4 + _BANDS) + [pa.int32(), pa.binary()]
+    """Per document: id, set size, signature; at the end this task's sketch."""
+    names = ["doc_id", "n", "sig", "seg", "payload"]
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     mask = np.uint64((1 << SKETCH_BITS) - 1)
     seen: set[int] = set()
@@ -77,31 +73,27 @@ def _profile(batches):
         size = 0
 
     for batch in batches:
-        cols: list[list] = [[] for _ in range(3 + _BANDS)]
+        sizes, sigs = [], []
         for _, own in row_sets(batch.column(1)):
-            if not len(own):
-                for c, v in zip(cols, (0, *[None] * (2 + _BANDS)), strict=True):
-                    c.append(v)
-                continue
-            sig, sig2 = _signature(own)
-            for c, v in zip(cols, (len(own), sig, sig2, *_band_keys(own)), strict=True):
-                c.append(v)
-            if sig not in seen:
+            sig = _signature(own) if len(own) else None
+            sizes.append(len(own))
+            sigs.append(sig)
+            if sig is not None and sig not in seen:
                 seen.add(sig)
                 held.append(own)
                 size += len(own)
                 if size > _FLUSH:
                     count()
-        arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in cols)]
+        arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64())]
         yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())], names=names)
     count()
     rows = list(emit_segments(np.minimum(counts, 255).astype(np.uint8)))
     if rows:
-        empty = [pa.nulls(len(rows), k) for k in kinds[: 4 + _BANDS]]
+        empty = [pa.nulls(len(rows), pa.int64())] * 3
         yield pa.RecordBatch.from_arrays([*empty, pa.array([s for s, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=names)
 
 
-_PROFILE = "doc_id long, n long, sig long, sig2 long, " + ", ".join(f"band{k} long" for k in range(_BANDS)) + ", seg int, payload binary"
+_PROFILE = "doc_id long, n long, sig long, seg int, payload binary"
 
 
 def _bloom_places(sig: np.ndarray, bits: int) -> np.ndarray:
@@ -124,18 +116,13 @@ def _membership_filter(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return fold_segments(ids.mapInArrow(build, "seg int, payload binary"), (1 << bits) // 8, "or"), bits
 
 
-def exact_links(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
-    """Of the class pairs ``(a, b)``, those with ``100 * intersection >= percent * union``."""
-    spark = docs.sparkSession
-    pairs = materialize(pairs, "jaccard-pairs")
-    ids = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    count = pairs.count()
-    if not count:
-        return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    table, bits = _membership_filter(ids, 2 * count)
-    shared = spark.sparkContext.broadcast(table)
-
-    def wanted_sets(batches):
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(sig, tokens)`` of the classes in ``ids(sig)``, once each, and perhaps of a few others."""
+    ids = materialize(ids.distinct(), "jaccard-wanted")
+    table, bits = _membership_filter(ids, ids.count())
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def wanted(batches):
         member = np.unpackbits(shared.value).astype(bool)
         seen: set[int] = set()
         for batch in batches:
@@ -143,41 +130,104 @@ def exact_links(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFra
             for _, own in row_sets(batch.column(0)):
                 if not len(own):
                     continue
-                sig = _signature(own)[0]
+                sig = _signature(own)
                 if sig not in seen and member[_bloom_places(np.array([sig]), bits)].all():
                     seen.add(sig)
                     sigs.append(sig)
                     blobs.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(blobs, pa.binary())], names=["sig", "tokens"])
 
-    def compare(batches):
+    sets = docs.select("text").mapInArrow(wanted, "sig long, tokens binary").groupBy("sig").agg(F.first("tokens").alias("tokens"))
+    return materialize(sets, "jaccard-sets")
+
+
+def linked(residents: list[np.ndarray], visitors: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ``(visitor, resident)`` of pairs with ``100 * intersection >= percent * union``."""
+
+    def flat(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+    (rt, ro), (vt, vo) = flat(residents), flat(visitors)
+    if residents is visitors:
+        tokens, times = np.unique(rt, return_counts=True)
+        common = tokens[times > 1]
+    else:
+        common = np.intersect1d(rt, vt)
+
+    def columns(tokens, owners):
+        at = np.searchsorted(common, tokens)
+        at[at == len(common)] = 0
+        hit = common[at] == tokens if len(common) else np.zeros(len(tokens), dtype=bool)
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], owners[hit][order]
+
+    (ra, ro), (va, vo) = columns(rt, ro), columns(vt, vo)
+    both = np.zeros((len(visitors), len(residents)), dtype=np.float32)
+    for k in range(0, len(common), _COLUMNS):
+        wide = min(_COLUMNS, len(common) - k)
+        sides = []
+        for at, owner, sets in ((va, vo, visitors), (ra, ro, residents)):
+            own = slice(*np.searchsorted(at, (k, k + wide)))
+            side = np.zeros((len(sets), wide), dtype=np.float32)
+            side[owner[own], at[own] - k] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    sizes = [np.array([len(x) for x in sets], dtype=np.float64) for sets in (visitors, residents)]
+    return np.nonzero(100 * both.astype(np.float64) >= percent * (sizes[0][:, None] + sizes[1][None, :] - both))
+
+
+def _compare(rows: DataFrame, percent: int) -> DataFrame:
+    """Links within ``rows(key, part, kind, sig, tokens)``, rows dealt by key and part.
+
+    Kind 0 is a resident, kind 1 a visitor that is compared with the residents of its key and part, and
+    kind 2 a resident that is compared with the other residents.  Of each block's links only so many
+    are returned as connect the same classes.
+    """
+    n = partitions(rows.sparkSession)
+
+    def run(batches):
+        key = None
+        kept: list[tuple[int, np.ndarray]] = []
+        guests: list[tuple[int, np.ndarray]] = []
+        inner = False
+
+        def meet():
+            if not kept or not (guests or inner):
+                guests.clear()
+                return
+            ids, sets = [k for k, _ in kept], [t for _, t in kept]
+            if inner:
+                vids, (v, r) = ids, linked(sets, sets, percent)
+                keep = v < r
+                v, r = v[keep], r[keep]
+            else:
+                vids = [k for k, _ in guests]
+                v, r = linked(sets, [t for _, t in guests], percent)
+            guests.clear()
+            u, w = np.array(vids, dtype=np.int64)[v], np.array(ids, dtype=np.int64)[r]
+            forest = spanning_edges(u, w)
+            yield pa.RecordBatch.from_arrays([pa.array(u[forest]), pa.array(w[forest])], names=["u", "v"])
+
         for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(k)
-            keep = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["u", "v"])
-
-    sets = docs.select("text").mapInArrow(wanted_sets, "sig long, tokens binary").groupBy("sig").agg(F.first("tokens").alias("tokens"))
-    sets = materialize(sets, "jaccard-sets")
-    left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "u long, v long")
-    links = materialize(links, "jaccard-links")
-    discard(sets)
-    discard(pairs)
-    return links
+            keys = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            for i, (own, part, kind, sig) in enumerate(keys):
+                if (own, part) != key:
+                    yield from meet()
+                    key, inner = (own, part), kind == 2
+                    kept, guests = [], []
+                tokens = np.frombuffer(batch.column(4)[i].as_py(), dtype=np.uint64)
+                (guests if kind == 1 else kept).append((sig, tokens))
+                if len(guests) >= _VISITORS:
+                    yield from meet()
+        yield from meet()
+
+    dealt = rows.select("key", "part", "kind", "sig", "tokens").repartition(n, "key", "part").sortWithinPartitions("key", "part", "kind")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def _entries(docs: DataFrame, levels: np.ndarray, buckets: int, percent: int) -> DataFrame:
-    """Every class's ``(token, sig, n)`` over the rarest part of its set, where two classes meet."""
+    """Every class's ``(token, sig, n, many)`` over the rarest part of its set; ``many`` (two or more)
+    classes have the token in that part."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def rare_parts(batches):
@@ -203,7 +253,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, buckets: int, percent: int) ->
         for batch in batches:
             for _, own in row_sets(batch.column(0)):
                 n = len(own)
-                if not n or (sig := _signature(own)[0]) in seen:
+                if not n or (sig := _signature(own)) in seen:
                     continue
                 seen.add(sig)
                 part = min(n, n - -(-percent * n // 100) + 1 + n // EXTRA)
@@ -228,23 +278,26 @@ def _entries(docs: DataFrame, levels: np.ndarray, buckets: int, percent: int) ->
         order = np.argsort(token, kind="stable")
         token = token[order]
         same = token[1:] == token[:-1]
-        many = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        order, token = order[many], token[many]
+        met = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        order, token = order[met], token[met]
         sig, n = sig[order], n[order]
         order = np.lexsort((sig, token))
         token, sig, n = token[order], sig[order], n[order]
-        if len(token):
-            fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])))
-            token, sig, n = token[fresh], sig[fresh], n[fresh]
-            same = token[1:] == token[:-1]
-            many = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            token, sig, n = token[many], sig[many], n[many]
+        if not len(token):
+            return
+        fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])))
+        token, sig, n = token[fresh], sig[fresh], n[fresh]
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        times = np.diff(np.append(first, len(token)))
+        many = np.repeat(times, times)
+        token, sig, n, many = (x[many > 1] for x in (token, sig, n, many))
         for k in range(0, len(token), 100_000):
             cut = slice(k, k + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(token[cut].view(np.int64)), pa.array(sig[cut]), pa.array(n[cut].astype(np.int64))], names=["token", "sig", "n"])
+            columns = [token[cut].view(np.int64), sig[cut], n[cut].astype(np.int64), many[cut]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "sig", "n", "many"])
 
     packed = docs.select("text").mapInArrow(rare_parts, "bucket int, token binary, sig binary, n binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(shared_tokens, "token long, sig long, n long")
+    return packed.repartition(buckets, "bucket").mapInArrow(shared_tokens, "token long, sig long, n long, many long")
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -252,42 +305,55 @@ def jaccard_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     scanned = materialize(docs.mapInArrow(_profile, _PROFILE), "jaccard-profile")
-    profile = scanned.filter("seg is null")
+    profile = scanned.filter("seg is null").select("doc_id", "n", "sig")
     sketch = fold_segments(scanned.filter("seg is not null"), 1 << SKETCH_BITS, "sum")
     levels = np.floor(2 * np.log2(np.maximum(sketch, 1))).astype(np.uint8)
-
-    bands = [f"band{k}" for k in range(_BANDS)]
-    classes = profile.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), *(F.first(b).alias(b) for b in bands))
-    classes = materialize(classes, "jaccard-classes")
-
-    # Groups: compare each class with the first class of its buckets.
-    size = int(classes.agg(F.sum("n")).first()[0] or 0)
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    keyed = classes.select("sig", "n", F.posexplode(F.array(*bands)).alias("band", "key"))
-    heads = keyed.groupBy("band", "key").agg(F.min(F.struct("sig", "n")).alias("head"), F.count("*").alias("many")).filter("many > 1").select("band", "key", "head")
-    pairs = keyed.join(heads, ["band", "key"]).filter((F.col("sig") != F.col("head.sig")) & near(F.col("n"), F.col("head.n")))
-    pairs = pairs.select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct()
-    first_links = exact_links(docs, pairs, percent)
-    grouped = materialize(connected_components(first_links, "jaccard-groups"), "jaccard-grouped")
-
-    # Token-group matrix: queries against the groups' token unions.
+    size = int(profile.agg(F.sum("n")).first()[0] or 0)
     buckets = max(partitions(spark), math.ceil(size * 0.32 / 1_500_000))
-    entries = _entries(docs, levels, buckets, percent)
-    group_of = grouped.select(F.col("node").alias("sig"), F.col("root").alias("grp"))
-    entries = materialize(entries.join(group_of, "sig", "left").select("token", "sig", "n", F.coalesce("grp", "sig").alias("grp")), "jaccard-entries")
-    matrix = entries.select("token", F.col("grp").alias("other")).distinct()
-    overlap = entries.join(matrix, "token").filter("grp <> other").groupBy("sig", "n", "other").agg(F.count("*").alias("shared"))
+    entries = materialize(_entries(docs, levels, buckets, percent), "jaccard-entries")
+
+    # Groups: blocks of the classes with the same most shared token, dealt in two ways.
+    classes = entries.groupBy("sig", "n").agg(F.max(F.struct("many", "token")).alias("top"))
+    classes = materialize(classes.select("sig", "n", F.when(F.col("top.many") >= HOT, F.col("top.token")).alias("draw")), "jaccard-classes")
+    drawn = classes.filter("draw is not null")
+    wide = drawn.groupBy("draw").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    drawn = drawn.join(wide, "draw").withColumn("block", F.pmod("sig", "blocks"))
+    drawn = materialize(drawn.withColumn("other_block", F.pmod(F.xxhash64("sig"), "blocks")), "jaccard-drawn")
+    sets = _sets_of(docs, drawn.select("sig"))
+    ways = [drawn.select(F.col("draw").alias("key"), F.col("block").alias("part"), F.lit(2).alias("kind"), "sig")]
+    ways.append(drawn.filter("blocks > 1").select(F.col("draw").alias("key"), (-1 - F.col("other_block")).alias("part"), F.lit(2).alias("kind"), "sig"))
+    inner = materialize(_compare(ways[0].unionByName(ways[1]).join(sets, "sig"), percent), "jaccard-inner")
+    discard(sets)
+    joined = materialize(connected_components(inner, "jaccard-groups").select(F.col("node").alias("sig"), "root"), "jaccard-joined")
+    block_group = drawn.select("sig", F.xxhash64("draw", "block").alias("block_group"))
+    grouped = classes.select("sig", "n").join(joined, "sig", "left").join(block_group, "sig", "left")
+    grouped = grouped.select("sig", "n", F.coalesce("root", "block_group", "sig").alias("grp"))
+    grouped = materialize(grouped, "jaccard-grouped")
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("size"))
+    grouped = materialize(grouped.join(sizes, "grp"), "jaccard-sized")
+
+    # Token-group matrix: queries against the token unions of groups that are not smaller than theirs.
+    tagged = materialize(entries.select("token", "sig", "n").join(grouped.select("sig", "grp", "size"), "sig"), "jaccard-tagged")
+    discard(entries)
+    matrix = tagged.select("token", F.struct("size", "grp").alias("other")).distinct()
+    overlap = tagged.join(matrix, "token").filter(F.struct("size", "grp") < F.col("other")).groupBy("sig", "n", "other").agg(F.count("*").alias("shared"))
     opened = overlap.filter(F.expr(f"shared >= 1 + floor({percent} * n / 100) div {EXTRA}"))
-
-    # Open the qualifying groups and compare with their members.
-    members = classes.select("sig", "n").join(group_of, "sig", "left").select(F.coalesce("grp", "sig").alias("other"), F.col("sig").alias("member"), F.col("n").alias("member_n"))
-    pairs = opened.join(members, "other").filter(near(F.col("n"), F.col("member_n")))
-    pairs = pairs.select(F.least("sig", "member").alias("a"), F.greatest("sig", "member").alias("b")).distinct()
-    more_links = exact_links(docs, pairs, percent)
-
-    links = more_links.unionByName(grouped.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    opened = materialize(opened.select("sig", F.col("other.grp").alias("key"), F.ceil(F.col("other.size") / BLOCK).alias("parts")), "jaccard-opened")
+    discard(tagged)
+
+    # Open the qualifying groups: their members, part by part, against their queries.
+    keys = opened.select("key").distinct()
+    members = grouped.withColumnRenamed("grp", "key").join(keys, "key", "left_semi")
+    members = members.select("key", F.pmod("sig", F.ceil(F.col("size") / BLOCK)).alias("part"), F.lit(0).alias("kind"), "sig")
+    queries = opened.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "sig")
+    rows = materialize(members.unionByName(queries), "jaccard-meetings")
+    sets = _sets_of(docs, rows.select("sig"))
+    outer = _compare(rows.join(sets, "sig"), percent)
+
+    links = outer.unionByName(joined.select(F.col("sig").alias("u"), F.col("root").alias("v")))
     component = connected_components(links, "jaccard-components").select(F.col("node").alias("sig"), F.col("root").alias("component"))
-    named = profile.select("doc_id", "n", "sig").join(component, "sig", "left").select("doc_id", "n", F.coalesce("component", "sig").alias("component"))
+    discard(sets)
+    named = profile.join(component, "sig", "left").select("doc_id", "n", F.coalesce("component", "sig").alias("component"))
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "component", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
