@@ -41,7 +41,7 @@ SKETCH_BITS = 21
 #: A class emits 1/16 of its set beyond the shortest safe part, and so must share that much more.
 EXTRA = 16
 #: A token of so many classes is much shared: it draws its classes into blocks of this size.
-HOT, BLOCK = 32, 256
+HOT, BLOCK = 8, 256
 #: Visitors compared at once, and columns of an incidence matrix.
 _VISITORS, _COLUMNS = 512, 4096
 #: Entries gathered in a task before they are packed into rows.
@@ -333,13 +333,13 @@ def jaccard_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     grouped = materialize(grouped.join(sizes, "grp"), "jaccard-sized")
 
     # Token-group matrix: queries against the token unions of groups that are not smaller than theirs.
-    tagged = materialize(entries.select("token", "sig", "n").join(grouped.select("sig", "grp", "size"), "sig"), "jaccard-tagged")
-    discard(entries)
+    # Dealt by token once: the matrix's distinct rows and the join with it need no other exchange.
+    tagged = entries.select("token", "sig", "n").join(grouped.select("sig", "grp", "size"), "sig").repartition("token")
     matrix = tagged.select("token", F.struct("size", "grp").alias("other")).distinct()
     overlap = tagged.join(matrix, "token").filter(F.struct("size", "grp") < F.col("other")).groupBy("sig", "n", "other").agg(F.count("*").alias("shared"))
     opened = overlap.filter(F.expr(f"shared >= 1 + floor({percent} * n / 100) div {EXTRA}"))
     opened = materialize(opened.select("sig", F.col("other.grp").alias("key"), F.ceil(F.col("other.size") / BLOCK).alias("parts")), "jaccard-opened")
-    discard(tagged)
+    discard(entries)
 
     # Open the qualifying groups: their members, part by part, against their queries.
     keys = opened.select("key").distinct()
