@@ -89,9 +89,14 @@ def features() -> dict[str, Column]:
     }
 
 
+#: The keys of :func:`features`.
+_LEXICAL = (
+    "url_length", "host_length", "path_length", "depth", "host_labels", "host_hyphens", "host_digits", "digit_ratio",
+    "host_entropy", "path_entropy", "parameters", "query_length",
+)
 _SUFFIX = {"suffix1": r"[^.]+$", "suffix2": r"[^.]+\.[^.]+$"}
 _STATS = ("rate", "frequency")
-NAMES = [*features(), *(f"{s}_{k}" for s in _SUFFIX for k in _STATS)]
+NAMES = [*_LEXICAL, *(f"{s}_{k}" for s in _SUFFIX for k in _STATS)]
 
 
 def _lexical(pages: DataFrame) -> DataFrame:
@@ -131,7 +136,7 @@ def _tree_value(node) -> Column:
 def fit(labelled: DataFrame) -> Model:
     """Grow the trees on at most ``LABELLED_ROWS`` rows of ``labelled(url, host, path, _after, bad)``."""
     rows = _lexical(labelled).orderBy(F.xxhash64("url"), "url").limit(LABELLED_ROWS)
-    rows = materialize(rows.select("bad", *features(), *_SUFFIX), "url-labelled")
+    rows = materialize(rows.select("bad", *_LEXICAL, *_SUFFIX), "url-labelled")
     count = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0)).alias("bad")).first()
     n, bad = count["n"], count["bad"]
     if not bad or bad == n:
