@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.common import materialize
-from fathom.llm.tokens import Encoder, batches_of_texts
+from fathom.llm.tokens import batches_of_texts, encoder
 
 WINDOW, END_ID = 2048, 1
 #: Rows of a plan; more means the plan would not be a small table any more.
@@ -147,7 +147,7 @@ def _measured(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame
     """Per document: tokens, checksums of its full windows and its remainder, and running counts."""
 
     def run(batches):
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         part = TaskContext.get().partitionId()
         ranks = np.zeros(window, dtype=np.int64)
         full = 0
@@ -155,7 +155,7 @@ def _measured(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame
             texts = [t or "" for t in batch.column(1).to_pylist()]
             cols: list[list] = [[], [], [], [], [], []]
             for a, b in batches_of_texts(texts):
-                for ids in encoder.encode(texts[a:b]):
+                for ids in encode(texts[a:b]):
                     ids = np.append(ids, np.uint32(end_id))
                     whole, rest = divmod(len(ids), window)
                     crcs = [_crc(ids[k * window : (k + 1) * window]) for k in range(whole)]
@@ -176,11 +176,11 @@ def _cut_checksums(docs: DataFrame, cut: DataFrame, path: str, end_id: int) -> D
     wanted = wanted.withColumnRenamed("doc_id", "cut_id")
 
     def run(batches):
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text, pieces in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = np.append(encoder.encode([text or ""])[0], np.uint32(end_id))
+                ids = np.append(encode([text or ""])[0], np.uint32(end_id))
                 for p in pieces:
                     whole = len(ids) // WINDOW * WINDOW
                     if p["doc_tokens"] == len(ids) and p["rest_crc"] == _crc(ids[whole:]):

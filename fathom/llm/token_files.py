@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.common import materialize, partitions
-from fathom.llm.tokens import Encoder, batches_of_texts
+from fathom.llm.tokens import batches_of_texts, encoder
 
 MAGIC = b"FTK1"
 END_ID = 2
@@ -144,7 +144,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches):
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         part, number = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
             texts = [t or "" for t in batch.column(1).to_pylist()]
             names = batch.column(0).to_pylist()
             for a, b in batches_of_texts(texts):
-                for doc_id, ids in zip(names[a:b], encoder.encode(texts[a:b]), strict=True):
+                for doc_id, ids in zip(names[a:b], encode(texts[a:b]), strict=True):
                     doc_ids.append(doc_id)
                     held.append(np.append(ids, np.uint32(end_id)))
                     size += len(held[-1])

@@ -1,39 +1,44 @@
-"""Token ids of whole texts, one tokenizer call for each distinct piece instead of each occurrence.
-
-Both byte-pair vocabularies split a text into pieces first and encode every piece by itself, so a
-text's ids are its pieces' ids in a row.  For texts within a set of plain Latin code points, where
-the splitting rules are a fixed expression, the pieces are found here and each distinct piece is
-encoded once by the tokenizers library and remembered (a bounded cache).  Any other text goes to
-the library whole.
+"""Token ids of whole texts, one tokenizer call for each distinct chunk instead of each occurrence.
+
+Both byte-pair vocabularies split a text into pieces first and encode every piece by itself, and no piece
+reaches across white space (but for one space before a word).  So a text's ids are its chunks' ids in a
+row, a chunk being a run without white space (with the space before it, where the vocabulary keeps
+it) or a run of white space.  For texts within a set of plain Latin code points each distinct chunk is
+encoded once by the tokenizers library and remembered in a bounded cache, which a Python worker keeps
+from task to task.  Any other text goes to the library whole.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Code points below this, but for a capital whose lower case is two code points, take the fast way.
-_PLAIN_END, _NOT_PLAIN = 0x180, "İ"
-#: Distinct pieces remembered before the cache starts afresh.
-CACHE_PIECES = 400_000
-#: Texts longer than this are encoded in one go only by pieces; bounds the library's temporaries.
-_CHUNK = 4096
+#: Code points below this, but for the ones listed, take the fast way: a capital whose lower case is two
+#: code points, and separators on which Python and the vocabularies disagree.
+_PLAIN_END = 0x180
+_PLAIN = re.compile(f"[\x00-\x1b\x20-\u012f\u0131-{chr(_PLAIN_END - 1)}]*")
+#: Distinct chunks remembered before the cache starts afresh.
+CACHE_CHUNKS = 1_000_000
+#: Chunks handed to the library at once.
+_LOT = 4096
+#: Space before a word belongs to the word; other white space leaves its last character to what follows.
+_SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
-def _class(test) -> str:
-    return "".join(re.escape(chr(c)) for c in range(_PLAIN_END) if test(chr(c)))
+class _Numbers(dict):
+    """Numbers chunks in the order in which they are first asked for, and lists the new ones."""
 
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
 
-_LETTER = _class(lambda c: unicodedata.category(c)[0] == "L")
-_NUMBER = _class(lambda c: unicodedata.category(c)[0] == "N")
-_SPACE = _class(lambda c: c.isspace() and c not in "\x1c\x1d\x1e\x1f")
-_SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
-_BYTE_PIECES = re.compile(f"{_SUFFIX}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_WORD_PIECES = re.compile(f"{_SUFFIX}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-_PLAIN = re.compile(f"[\x00-{chr(_PLAIN_END - 1)}]*")
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        self.new.append(chunk)
+        return number
 
 
 class Encoder:
@@ -42,56 +47,60 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
-        self.lower = self.tokenizer.normalizer is not None
-        self.pieces = _WORD_PIECES if self.lower else _BYTE_PIECES
+        #: A vocabulary that normalises drops white space and letter case.
+        self.drops_space = self.tokenizer.normalizer is not None
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.starts = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, new: list[str]) -> None:
-        sizes, ids = [], []
-        for at in range(0, len(new), _CHUNK):
-            part = new[at : at + _CHUNK]
+    def _learn(self) -> None:
+        new, sizes, ids = self.number.new, [], []
+        for at in range(0, len(new), _LOT):
+            part = new[at : at + _LOT]
             got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             sizes.append(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part)))
             ids.append(np.array(got.ids, dtype=np.uint32))
-        base = len(self.number)
-        self.number.update((p, base + k) for k, p in enumerate(new))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
         self.ids = np.concatenate([self.ids, *ids])
+        new.clear()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > CACHE_PIECES:
+        if len(self.number) > CACHE_CHUNKS:
             self._forget()
-        split: list[list[str] | None] = []
-        unseen: dict[str, None] = {}
-        known = self.number
-        for text in texts:
-            if _PLAIN.fullmatch(text) and _NOT_PLAIN not in text:
-                found = self.pieces.findall(text.lower() if self.lower else text)
-                unseen.update(dict.fromkeys(p for p in found if p not in known))
-                split.append(found)
+        chunks: list[str] = []
+        ends = []
+        whole: dict[int, np.ndarray] = {}
+        for k, text in enumerate(texts):
+            if not _PLAIN.fullmatch(text):
+                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            elif self.drops_space:
+                chunks += text.lower().split()
             else:
-                split.append(None)
-        if unseen:
-            self._learn(list(unseen))
-        out = []
-        for text, found in zip(texts, split, strict=True):
-            if found is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
-                continue
-            which = np.fromiter(map(self.number.__getitem__, found), dtype=np.int64, count=len(found))
-            first = self.starts[which]
-            size = self.starts[which + 1] - first
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.repeat(first - (ends - size), size) + np.arange(total)])
+                chunks += _SPACED.findall(text)
+            ends.append(len(chunks))
+        which = np.fromiter(map(self.number.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        if self.number.new:
+            self._learn()
+        first = self.starts[which]
+        size = self.starts[which + 1] - first
+        after = np.cumsum(size)
+        ids = self.ids[np.repeat(first - (after - size), size) + np.arange(int(after[-1]) if len(after) else 0)]
+        cuts = np.concatenate(([0], after))[ends]
+        out = np.split(ids, cuts[:-1]) if len(texts) else []
+        for k, own in whole.items():
+            out[k] = own
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a vocabulary file, with what it has learned in earlier tasks."""
+    return Encoder(path)
+
+
 def batches_of_texts(texts: list[str], characters: int = 2_000_000):
     """Row ranges of ``texts`` of about so many characters."""
     first = size = 0
