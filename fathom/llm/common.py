@@ -32,11 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch where rows are whole texts or files.
+BATCH_BYTES = "8m"
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there."""
+    """``df`` written to the shared folder and read back: its lineage ends there.
+
+    It runs with small Arrow batches, so that long texts bound a task's memory and not their number.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

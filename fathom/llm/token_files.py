@@ -37,7 +37,7 @@ MAGIC = b"FTK1"
 END_ID = 2
 BLOCK_IDS = 1 << 16
 #: A task closes a file once it holds so many ids.
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 18
 _FOOTER = struct.Struct("<QQQQIB3x4s")  # index at, table at, ids, documents, ids a block, bits a plane, magic
 _CHUNK = np.dtype([("block", "<u4"), ("plane", "<u4"), ("at", "<u8"), ("size", "<u4")])
 
@@ -176,7 +176,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
             yield close()
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    ordered = keyed.repartitionByRange(2 * partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = keyed.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return materialize(ordered.select("doc_id", "text").mapInArrow(run, "part long, file long, n_ids long, payload binary"), "token-files")
 
 
@@ -201,4 +201,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     opened = files.join(first, ["part", "file"]).select("payload", "first")
-    return opened.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return materialize(opened.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"), "token-documents")

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 _PLAIN_END = 0x180
 _PLAIN = re.compile(f"[\x00-\x1b\x20-\u012f\u0131-{chr(_PLAIN_END - 1)}]*")
 #: Distinct chunks remembered before the cache starts afresh.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 800_000
 #: Chunks handed to the library at once.
 _LOT = 4096
 #: Space before a word belongs to the word; other white space leaves its last character to what follows.
