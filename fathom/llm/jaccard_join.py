@@ -8,8 +8,9 @@ A document's set is its distinct 5-word shingles, each a 64-bit hash.  The join
 2. every class emits the rarest part of its set, long enough that linked sets share at least ``l``
    tokens of it; tokens of a single class drop out at once;
 3. *groups*: classes whose most shared token is the same one are dealt, in two different ways, into
-   blocks of bounded size and compared within the blocks; classes linked there form one group, what
-   stays unlinked is grouped by its block, and a class without a much-shared token stands alone;
+   blocks of bounded size; those whose rare parts meet often enough in their block are compared there.
+   Classes linked so form one group, what stays unlinked is grouped by its block, and a class without
+   a much-shared token stands alone;
 4. *token-group matrix*: a token's row lists the groups whose token union has it; a query class counts,
    for every other group, the tokens of its rare part that lie in the group's union.  The count bounds
    the overlap with each member, so only groups that reach the required count are opened;
@@ -141,6 +142,50 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(sets, "jaccard-sets")
 
 
+def _worth_comparing(rows: DataFrame, percent: int) -> DataFrame:
+    """Of blocks ``rows(key, part, sig, n, token)`` the ``(key, part, sig)`` whose rare parts meet often enough
+    that the class can be linked with another of its block."""
+    n_tasks = partitions(rows.sparkSession)
+
+    def chosen(sig: np.ndarray, n: np.ndarray, token: np.ndarray) -> np.ndarray:
+        ids, owner = np.unique(sig, return_inverse=True)
+        size = np.zeros(len(ids), dtype=np.int64)
+        size[owner] = n
+        _, column, times = np.unique(token, return_inverse=True, return_counts=True)
+        keep = times[column] > 1
+        column, owner = np.unique(column[keep], return_inverse=True)[1], owner[keep]
+        both = np.zeros((len(ids), len(ids)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for k in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+            own = slice(*np.searchsorted(column, (k, k + _COLUMNS)))
+            side = np.zeros((len(ids), _COLUMNS), dtype=np.float32)
+            side[owner[own], column[own] - k] = 1
+            both += side @ side.T
+        np.fill_diagonal(both, 0)
+        low, high = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
+        return ids[((both >= 1 + low // EXTRA) & (100 * low >= percent * high)).any(1)]
+
+    def run(batches):
+        key, held = None, []
+
+        def close():
+            if held:
+                found = chosen(*(np.array(c) for c in zip(*held, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array([key[1]] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["key", "part", "sig"])
+
+        for batch in batches:
+            for own, part, *entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (own, part) != key:
+                    yield from close()
+                    key, held = (own, part), []
+                held.append(entry)
+        yield from close()
+
+    dealt = rows.select("key", "part", "sig", "n", "token").repartition(n_tasks, "key", "part").sortWithinPartitions("key", "part")
+    return dealt.mapInArrow(run, "key long, part long, sig long")
+
+
 def linked(residents: list[np.ndarray], visitors: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions ``(visitor, resident)`` of pairs with ``100 * intersection >= percent * union``."""
 
@@ -319,10 +364,11 @@ def jaccard_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     wide = drawn.groupBy("draw").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     drawn = drawn.join(wide, "draw").withColumn("block", F.pmod("sig", "blocks"))
     drawn = materialize(drawn.withColumn("other_block", F.pmod(F.xxhash64("sig"), "blocks")), "jaccard-drawn")
-    sets = _sets_of(docs, drawn.select("sig"))
-    ways = [drawn.select(F.col("draw").alias("key"), F.col("block").alias("part"), F.lit(2).alias("kind"), "sig")]
-    ways.append(drawn.filter("blocks > 1").select(F.col("draw").alias("key"), (-1 - F.col("other_block")).alias("part"), F.lit(2).alias("kind"), "sig"))
-    inner = materialize(_compare(ways[0].unionByName(ways[1]).join(sets, "sig"), percent), "jaccard-inner")
+    blocks = F.array(F.col("block"), F.when(F.col("blocks") > 1, -1 - F.col("other_block")))
+    dealt = drawn.select("sig", F.col("draw").alias("key"), F.explode(blocks).alias("part")).filter("part is not null")
+    near = materialize(_worth_comparing(entries.select("token", "sig", "n").join(dealt, "sig"), percent), "jaccard-near")
+    sets = _sets_of(docs, near.select("sig"))
+    inner = materialize(_compare(near.withColumn("kind", F.lit(2)).join(sets, "sig"), percent), "jaccard-inner")
     discard(sets)
     joined = materialize(connected_components(inner, "jaccard-groups").select(F.col("node").alias("sig"), "root"), "jaccard-joined")
     block_group = drawn.select("sig", F.xxhash64("draw", "block").alias("block_group"))
