@@ -83,27 +83,41 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total
     return sources.select("source", "source_size", "place", target.alias("target"))
 
 
-def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
-    """Every document's ``doc_id, source, size, source_size, target, taken, first_pass, later_passes, position``.
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
-    ``taken`` counts its words over all passes; ``position`` (0 to 1) is where its first taken word
-    stands in training, null if none is taken.  Rows come range-sorted by position.
-    """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select("doc_id", "source", size.alias("size"), order.alias("order"))
+
+def _order() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def _key() -> Column:
+    """A source as a join key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
+
+
+def _placed(docs: DataFrame, weights: tuple[float, ...], total: float, most: int) -> DataFrame:
+    """Every document without its text, with its source's target and the supply ``before`` it."""
+    sized = docs.select("doc_id", "source", _size().alias("size"), _order().alias("order"))
     sized = materialize(sized.withColumn("bucket", F.substring("order", 1, 3)), "mixing-sizes")
     targets = source_targets(sized.select("source", "size"), weights, total, most)
 
-    keyed = sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    keyed = sized.withColumn("key", _key())
     before = hash_bucket_totals(keyed, "key", "bucket", "size").select("key", "bucket", "before_bucket")
     earlier = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.join(before, ["key", "bucket"]).withColumn("before", F.col("before_bucket") + F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    known = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("key"), "source_size", "place", "target")
-    placed = placed.join(known, "key")
+    known = targets.select(_key().alias("key"), "source_size", "place", "target")
+    return placed.join(known, "key").withColumn("wanted", F.round("target").cast("long"))
+
 
-    wanted = F.round("target").cast("long")
-    left = wanted - F.col("before")
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
+    """Every document's ``doc_id, source, size, source_size, target, taken, first_pass, later_passes, position``.
+
+    ``taken`` counts its words over all passes; ``position`` (0 to 1) is where its first taken word
+    stands in training, null if none is taken.  Rows come range-sorted by position.
+    """
+    placed = _placed(docs, weights, total, most)
+    left = F.col("wanted") - F.col("before")
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), left - k * F.col("source_size"))).cast("long") for k in range(most)]
     later = sum(passes[1:], F.lit(0).cast("long"))
     share = F.col("before") / F.greatest(F.col("target"), F.lit(1.0))
@@ -118,32 +132,56 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total:
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def _ends(placed: DataFrame, most: int) -> DataFrame:
+    """For each source and pass that its demand ends in: where it ends.
+
+    ``end`` is the order key of the document taken in part (or not at all any more); documents before it are
+    taken whole, later ones not.  ``supply`` is what lies before the first document with that key.
+    """
+    turn = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("turn")
+    rows = placed.select("key", F.struct("order", "doc_id", "size").alias("at"), "size", "before", (F.col("wanted")).alias("wanted"), "source_size")
+    ended = rows.select("*", turn).withColumn("left", F.col("wanted") - F.col("turn") * F.col("source_size"))
+    # The first document that is not taken whole, and then the first of those that share its key.
+    ends = ended.filter((F.col("size") > 0) & (F.col("before") + F.col("size") > F.col("left"))).groupBy("key", "turn").agg(F.min("at").alias("end"), F.first("left").alias("left"))
+    same = rows.join(F.broadcast(ends.select("key", "turn", "end")), "key").filter(F.col("at").eqNullSafe(F.col("end")))
+    supply = same.groupBy("key", "turn").agg(F.min("before").alias("supply"))
+    return ends.join(supply, ["key", "turn"])
+
+
 def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each pass that takes a document.
 
-    A document that a pass takes in part keeps its first words, joined by single spaces.  ``n_chars``,
-    where there is such a column, follows the text.  Documents without any word are not taken.
+    Within a source, demand ends at one place of the hashed order in a pass, so the texts stay where they
+    are and meet one small row a source and pass.  A document that a pass takes in part keeps its first
+    words, joined by single spaces.  ``n_chars``, where there is such a column, follows the text.
+    Documents without any word are not taken.
     """
-    # Passes are decided by id and size alone, so rows that agree in both share one decision each.
-    key = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    turn = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("taken"))
-    mix = mix_documents(docs, weights, total, most).filter("size > 0").withColumn("turn", F.row_number().over(turn))
-    mix = mix.select("doc_id", "source", "size", "turn", "first_pass", "later_passes")
-    names = docs.columns
-    own = docs.withColumn("_size", key).filter("_size > 0")
-    own = own.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text")))
-    on = own["doc_id"].eqNullSafe(mix["doc_id"]) & own["source"].eqNullSafe(mix["source"]) & (F.col("_size") == mix["size"]) & (F.col("_turn") == mix["turn"])
-    both = own.join(mix.withColumn("_words", F.explode(F.array("first_pass", "later_passes"))), on).filter("_words > 0")
+    placed = _placed(docs, weights, total, most)
+    # One row a source and pass: small beside the documents, like the list of sources itself.
+    ends = materialize(_ends(placed, most), "mixing-ends").withColumnRenamed("key", "_key").withColumnRenamed("turn", "_pass")
+    own = docs.withColumns({"_size": _size(), "_order": _order()}).filter("_size > 0")
+    own = own.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
+    own = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_turn"))
+    on = (F.col("_source") == F.col("_key")) & (F.col("_turn") == F.col("_pass"))
+    own = own.join(F.broadcast(ends), on, "left")
+    at = F.struct(F.col("_order").alias("order"), F.col("doc_id").alias("doc_id"), F.col("_size").alias("size"))
+    taken = own.filter(F.col("end").isNull() | (at < F.col("end")) | (at.eqNullSafe(F.col("end")) & (F.col("supply") < F.col("left"))))
+    inside = taken.filter(F.col("end").isNull() | ~at.eqNullSafe(F.col("end"))).withColumn("_words", F.col("_size"))
+    # Documents that share the key at which the demand ends: as many as it still reaches.
+    equal = taken.filter(at.eqNullSafe(F.col("end")))
+    turn = F.row_number().over(Window.partitionBy("_source", "_turn").orderBy("text"))
+    equal = equal.withColumn("_words", F.least(F.col("_size"), F.col("left") - F.col("supply") - (turn - 1) * F.col("_size"))).filter("_words > 0")
+    both = inside.unionByName(equal)
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(own["text"])
+    partly = F.col("_words") < F.col("_size")
     columns = []
-    for name in names:
+    for name in docs.columns:
         if name == "text":
-            columns.append(text.alias("text"))
+            columns.append(F.when(partly, cut).otherwise(F.col("text")).alias("text"))
         elif name == "n_chars":
-            columns.append(F.when(F.col("_words") < F.col("_size"), F.length(cut)).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            columns.append(F.when(partly, F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
-            columns.append(own[name])
+            columns.append(F.col(name))
     return both.select(*columns)
 
 

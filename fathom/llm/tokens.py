@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 #: code points, and separators on which Python and the vocabularies disagree.
 _PLAIN_END = 0x180
 _PLAIN = re.compile(f"[\x00-\x1b\x20-\u012f\u0131-{chr(_PLAIN_END - 1)}]*")
-#: Distinct chunks remembered before the cache starts afresh.
+#: Distinct chunks remembered before those met only once are forgotten.
 CACHE_CHUNKS = 800_000
 #: Chunks handed to the library at once.
 _LOT = 4096
@@ -51,10 +51,21 @@ class Encoder:
         self.drops_space = self.tokenizer.normalizer is not None
         self._forget()
 
-    def _forget(self) -> None:
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """Start afresh, but for the numbers in ``keep`` (ascending)."""
+        if keep is None:
+            self.number = _Numbers()
+            self.starts = np.zeros(1, dtype=np.int64)
+            self.ids = np.zeros(0, dtype=np.uint32)
+            self.met = np.zeros(0, dtype=np.int64)
+            return
+        names, size = list(self.number), np.diff(self.starts)[keep]
+        first, after = self.starts[keep], np.cumsum(size)
+        self.ids = self.ids[np.repeat(first - (after - size), size) + np.arange(int(after[-1]) if len(after) else 0)]
+        self.starts = np.concatenate(([0], after))
         self.number = _Numbers()
-        self.starts = np.zeros(1, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
+        self.number.update((names[k], at) for at, k in enumerate(keep.tolist()))
+        self.met = self.met[keep] // 2
 
     def _learn(self) -> None:
         new, sizes, ids = self.number.new, [], []
@@ -69,7 +80,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHE_CHUNKS:
-            self._forget()
+            often = np.flatnonzero(self.met > 1)
+            self._forget(often if len(often) <= CACHE_CHUNKS // 2 else np.sort(often[np.argsort(-self.met[often], kind="stable")[: CACHE_CHUNKS // 2]]))
         chunks: list[str] = []
         ends = []
         whole: dict[int, np.ndarray] = {}
@@ -84,6 +96,9 @@ class Encoder:
         which = np.fromiter(map(self.number.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         if self.number.new:
             self._learn()
+        times = np.bincount(which, minlength=len(self.number))
+        times[: len(self.met)] += self.met
+        self.met = times
         first = self.starts[which]
         size = self.starts[which + 1] - first
         after = np.cumsum(size)
