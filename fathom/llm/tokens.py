@@ -1,20 +1,22 @@
-"""Token ids of whole texts, one tokenizer call for each distinct chunk instead of each occurrence.
+"""Token ids of whole texts, one tokenizer call for each distinct piece instead of each occurrence.
 
 Both byte-pair vocabularies split a text into pieces first and encode every piece by itself, and no piece
 reaches across white space (but for one space before a word).  So a text's ids are its chunks' ids in a
 row, a chunk being a run without white space (with the space before it, where the vocabulary keeps
-it) or a run of white space.  For texts within a set of plain Latin code points each distinct chunk is
-encoded once by the tokenizers library and remembered in a bounded cache, which a Python worker keeps
-from task to task.  Any other text goes to the library whole.
+it) or a run of white space; and a chunk's ids are its pieces'.  For texts within a set of plain Latin
+code points, where the splitting rules are a fixed expression, each distinct chunk is looked up once and
+each distinct piece is encoded once by the tokenizers library; both are remembered in bounded caches,
+which a Python worker keeps from task to task.  Any other text goes to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Code points below this, but for the ones listed, take the fast way: a capital whose lower case is two
 #: code points, and separators on which Python and the vocabularies disagree.
@@ -22,12 +24,28 @@ _PLAIN_END = 0x180
 _PLAIN = re.compile(f"[\x00-\x1b\x20-\u012f\u0131-{chr(_PLAIN_END - 1)}]*")
 #: Distinct chunks remembered before those met only once are forgotten.
 CACHE_CHUNKS = 800_000
-#: Chunks handed to the library at once.
+#: Distinct pieces remembered before their cache starts afresh.
+CACHE_PIECES = 500_000
+#: Pieces handed to the library at once.
 _LOT = 4096
 #: Space before a word belongs to the word; other white space leaves its last character to what follows.
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
+
+def _class(test) -> str:
+    return "".join(re.escape(chr(c)) for c in range(_PLAIN_END) if test(chr(c)))
+
+
+_LETTER = _class(lambda c: unicodedata.category(c)[0] == "L")
+_NUMBER = _class(lambda c: unicodedata.category(c)[0] == "N")
+_SPACE = _class(str.isspace)
+_SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
+#: The vocabularies' own splitting rules, for plain code points.
+_BYTE_PIECES = re.compile(f"{_SUFFIX}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_WORD_PIECES = re.compile(f"{_SUFFIX}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+
+
 class _Numbers(dict):
     """Numbers chunks in the order in which they are first asked for, and lists the new ones."""
 
@@ -41,6 +59,37 @@ class _Numbers(dict):
         return number
 
 
+class _Store:
+    """Ids of numbered strings, one after the other."""
+
+    def __init__(self):
+        self.number = _Numbers()
+        self._starts: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]
+        self._ids: list[np.ndarray] = []
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, strings), dtype=np.int64, count=len(strings))
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self._starts.append(self._starts[-1][-1] + np.cumsum(sizes))
+        self._ids.append(ids)
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings in a row, and where each string's end."""
+        if len(self._starts) > 1:
+            self._starts = [np.concatenate(self._starts)]
+            self._ids = [np.concatenate(self._ids)]
+        starts, ids = self._starts[0], self._ids[0] if self._ids else np.zeros(0, dtype=np.uint32)
+        return _gathered(ids, starts, which)
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = starts[which]
+    size = starts[which + 1] - first
+    after = np.cumsum(size)
+    return ids[np.repeat(first - (after - size), size) + np.arange(int(after[-1]) if len(after) else 0)], after
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids (uint32); the vocabulary file is a parameter."""
 
@@ -49,6 +98,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
         #: A vocabulary that normalises drops white space and letter case.
         self.drops_space = self.tokenizer.normalizer is not None
+        self.pieces = _WORD_PIECES if self.drops_space else _BYTE_PIECES
+        # Pieces are normalised and split already; this one only maps their bytes and merges.
+        self.merger = Tokenizer.from_file(path)
+        self.merger.encode_special_tokens = True
+        self.merger.normalizer = normalizers.Sequence([])
+        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.piece = _Store()
         self._forget()
 
     def _forget(self, keep: np.ndarray | None = None) -> None:
@@ -59,24 +115,34 @@ class Encoder:
             self.ids = np.zeros(0, dtype=np.uint32)
             self.met = np.zeros(0, dtype=np.int64)
             return
-        names, size = list(self.number), np.diff(self.starts)[keep]
-        first, after = self.starts[keep], np.cumsum(size)
-        self.ids = self.ids[np.repeat(first - (after - size), size) + np.arange(int(after[-1]) if len(after) else 0)]
+        names = list(self.number)
+        self.ids, after = _gathered(self.ids, self.starts, keep)
         self.starts = np.concatenate(([0], after))
         self.number = _Numbers()
         self.number.update((names[k], at) for at, k in enumerate(keep.tolist()))
         self.met = self.met[keep] // 2
 
     def _learn(self) -> None:
-        new, sizes, ids = self.number.new, [], []
-        for at in range(0, len(new), _LOT):
-            part = new[at : at + _LOT]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            sizes.append(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part)))
-            ids.append(np.array(got.ids, dtype=np.uint32))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
-        self.ids = np.concatenate([self.ids, *ids])
-        new.clear()
+        """Put the new chunks together from their pieces, of which the unseen ones are encoded."""
+        if len(self.piece.number) > CACHE_PIECES:
+            self.piece = _Store()
+        split, counts = [], []
+        for chunk in self.number.new:
+            found = self.pieces.findall(chunk)
+            split += found
+            counts.append(len(found))
+        which = self.piece.numbers(split)
+        unseen = self.piece.number.new
+        for at in range(0, len(unseen), _LOT):
+            part = unseen[at : at + _LOT]
+            got = self.merger.encode(part, is_pretokenized=True, add_special_tokens=False)
+            self.piece.add(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part)), np.array(got.ids, dtype=np.uint32))
+        unseen.clear()
+        ids, after = self.piece.gather(which)
+        ends = np.concatenate(([0], after))[np.cumsum(counts)]
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+        self.ids = np.concatenate([self.ids, ids])
+        self.number.new.clear()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHE_CHUNKS:
@@ -99,10 +165,7 @@ class Encoder:
         times = np.bincount(which, minlength=len(self.number))
         times[: len(self.met)] += self.met
         self.met = times
-        first = self.starts[which]
-        size = self.starts[which + 1] - first
-        after = np.cumsum(size)
-        ids = self.ids[np.repeat(first - (after - size), size) + np.arange(int(after[-1]) if len(after) else 0)]
+        ids, after = _gathered(self.ids, self.starts, which)
         cuts = np.concatenate(([0], after))[ends]
         out = np.split(ids, cuts[:-1]) if len(texts) else []
         for k, own in whole.items():
