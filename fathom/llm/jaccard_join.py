@@ -14,7 +14,8 @@ A document's set is its distinct 5-word shingles, each a 64-bit hash.  The join
 4. *token-group matrix*: a token's row lists the groups whose token union has it; a query class counts,
    for every other group, the tokens of its rare part that lie in the group's union.  The count bounds
    the overlap with each member, so only groups that reach the required count are opened;
-5. opened groups are compared with their queries, part by part, and components are taken over all links.
+5. opened groups are compared with their queries, part by part, first by the rare parts that are at hand, and
+   what can still be linked by whole sets; components are taken over all links.
 
 Frequency only orders the tokens, so its sketch affects speed and never the result.  Sets meet in
 blocks, as products of incidence matrices; a block reports a spanning forest of its links, so no
@@ -142,48 +143,110 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(sets, "jaccard-sets")
 
 
-def _worth_comparing(rows: DataFrame, percent: int) -> DataFrame:
-    """Of blocks ``rows(key, part, sig, n, token)`` the ``(key, part, sig)`` whose rare parts meet often enough
-    that the class can be linked with another of its block."""
-    n_tasks = partitions(rows.sparkSession)
+def _often_together(residents: list, visitors: list | None, percent: int) -> np.ndarray:
+    """Which visitors (rows) meet which residents (columns) in enough tokens of their rare parts to be linked.
+
+    A side lists arrays ``(sig, n, token)``; without visitors the residents meet each other.
+    """
 
-    def chosen(sig: np.ndarray, n: np.ndarray, token: np.ndarray) -> np.ndarray:
+    def side(parts):
+        sig, n, token = (np.concatenate(c) for c in zip(*parts, strict=True))
         ids, owner = np.unique(sig, return_inverse=True)
         size = np.zeros(len(ids), dtype=np.int64)
         size[owner] = n
-        _, column, times = np.unique(token, return_inverse=True, return_counts=True)
-        keep = times[column] > 1
-        column, owner = np.unique(column[keep], return_inverse=True)[1], owner[keep]
-        both = np.zeros((len(ids), len(ids)), dtype=np.float32)
-        order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
-        for k in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
-            own = slice(*np.searchsorted(column, (k, k + _COLUMNS)))
-            side = np.zeros((len(ids), _COLUMNS), dtype=np.float32)
-            side[owner[own], column[own] - k] = 1
-            both += side @ side.T
+        return ids, owner, size, token
+
+    r_ids, r_owner, r_size, r_token = side(residents)
+    if visitors is None:
+        v_ids, v_owner, v_size, v_token = r_ids, r_owner, r_size, r_token
+        tokens, times = np.unique(r_token, return_counts=True)
+        common = tokens[times > 1]
+    else:
+        v_ids, v_owner, v_size, v_token = side(visitors)
+        common = np.intersect1d(r_token, v_token)
+
+    def columns(token, owner):
+        at = np.searchsorted(common, token)
+        at[at == len(common)] = 0
+        hit = common[at] == token if len(common) else np.zeros(len(token), dtype=bool)
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], owner[hit][order]
+
+    (ra, ro), (va, vo) = columns(r_token, r_owner), columns(v_token, v_owner)
+    both = np.zeros((len(v_ids), len(r_ids)), dtype=np.float32)
+    for k in range(0, len(common), _COLUMNS):
+        wide = min(_COLUMNS, len(common) - k)
+        pair = []
+        for at, owner, count in ((va, vo, len(v_ids)), (ra, ro, len(r_ids))):
+            own = slice(*np.searchsorted(at, (k, k + wide)))
+            one = np.zeros((count, wide), dtype=np.float32)
+            one[owner[own], at[own] - k] = 1
+            pair.append(one)
+        both += pair[0] @ pair[1].T
+    if visitors is None:
         np.fill_diagonal(both, 0)
-        low, high = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
-        return ids[((both >= 1 + low // EXTRA) & (100 * low >= percent * high)).any(1)]
+    low, high = np.minimum(v_size[:, None], r_size[None, :]), np.maximum(v_size[:, None], r_size[None, :])
+    return (both >= 1 + low // EXTRA) & (100 * low >= percent * high)
+
+
+def _worth_comparing(rows: DataFrame, percent: int) -> DataFrame:
+    """Of ``rows(key, part, kind, sig, n, token)`` (kinds as in :func:`_compare`) the ``(key, part, kind, sig)`` that
+    can be linked with what they would be compared with, by the tokens that their rare parts share."""
+    n_tasks = partitions(rows.sparkSession)
 
     def run(batches):
-        key, held = None, []
+        key: tuple[int, int] | None = None
+        sides: dict[int, list] = {0: [], 1: [], 2: []}
+        wanted: set[int] = set()
+
+        def found(kind: int, sig: np.ndarray):
+            full = [pa.array(np.full(len(sig), v), pa.int64()) for v in key]
+            return pa.RecordBatch.from_arrays([*full, pa.array(np.full(len(sig), kind), pa.int32()), pa.array(sig, pa.int64())], names=["key", "part", "kind", "sig"])
+
+        def visit(last: bool):
+            guests = sides[1]
+            if not guests or not sides[0]:
+                guests.clear()
+                return
+            sig, n, token = (np.concatenate(c) for c in zip(*guests, strict=True))
+            # A class whose entries may go on in the next batch waits.
+            now = np.ones(len(sig), dtype=bool) if last else sig != sig[-1]
+            guests[:] = [] if last else [(sig[~now], n[~now], token[~now])]
+            if now.any():
+                hit = _often_together(sides[0], [(sig[now], n[now], token[now])], percent)
+                residents = np.unique(np.concatenate([r[0] for r in sides[0]]))
+                wanted.update(residents[hit.any(0)].tolist())
+                yield found(1, np.unique(sig[now])[hit.any(1)])
 
         def close():
-            if held:
-                found = chosen(*(np.array(c) for c in zip(*held, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array([key[1]] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["key", "part", "sig"])
+            if key is None:
+                return
+            yield from visit(True)
+            if wanted:
+                yield found(0, np.array(sorted(wanted), dtype=np.int64))
+            if sides[2]:
+                hit = _often_together(sides[2], None, percent)
+                yield found(2, np.unique(np.concatenate([r[0] for r in sides[2]]))[hit.any(0)])
+            for side in sides.values():
+                side.clear()
+            wanted.clear()
 
         for batch in batches:
-            for own, part, *entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (own, part) != key:
+            k, part, kind, sig, n, token = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cut = np.flatnonzero((k[1:] != k[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(k)])).tolist(), strict=True):
+                if a == b:
+                    continue
+                if (int(k[a]), int(part[a])) != key:
                     yield from close()
-                    key, held = (own, part), []
-                held.append(entry)
+                    key = (int(k[a]), int(part[a]))
+                sides[int(kind[a])].append((sig[a:b], n[a:b], token[a:b]))
+                if sum(len(g[0]) for g in sides[1]) > 50_000:
+                    yield from visit(False)
         yield from close()
 
-    dealt = rows.select("key", "part", "sig", "n", "token").repartition(n_tasks, "key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(run, "key long, part long, sig long")
+    dealt = rows.select("key", "part", "kind", "sig", "n", "token").repartition(n_tasks, "key", "part").sortWithinPartitions("key", "part", "kind", "sig")
+    return dealt.mapInArrow(run, "key long, part long, kind int, sig long")
 
 
 def linked(residents: list[np.ndarray], visitors: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -366,9 +429,10 @@ def jaccard_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     drawn = materialize(drawn.withColumn("other_block", F.pmod(F.xxhash64("sig"), "blocks")), "jaccard-drawn")
     blocks = F.array(F.col("block"), F.when(F.col("blocks") > 1, -1 - F.col("other_block")))
     dealt = drawn.select("sig", F.col("draw").alias("key"), F.explode(blocks).alias("part")).filter("part is not null")
-    near = materialize(_worth_comparing(entries.select("token", "sig", "n").join(dealt, "sig"), percent), "jaccard-near")
+    parts = entries.select("token", "sig", "n").join(dealt.withColumn("kind", F.lit(2)), "sig")
+    near = materialize(_worth_comparing(parts, percent), "jaccard-near")
     sets = _sets_of(docs, near.select("sig"))
-    inner = materialize(_compare(near.withColumn("kind", F.lit(2)).join(sets, "sig"), percent), "jaccard-inner")
+    inner = materialize(_compare(near.join(sets, "sig"), percent), "jaccard-inner")
     discard(sets)
     joined = materialize(connected_components(inner, "jaccard-groups").select(F.col("node").alias("sig"), "root"), "jaccard-joined")
     block_group = drawn.select("sig", F.xxhash64("draw", "block").alias("block_group"))
@@ -385,14 +449,16 @@ def jaccard_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     overlap = tagged.join(matrix, "token").filter(F.struct("size", "grp") < F.col("other")).groupBy("sig", "n", "other").agg(F.count("*").alias("shared"))
     opened = overlap.filter(F.expr(f"shared >= 1 + floor({percent} * n / 100) div {EXTRA}"))
     opened = materialize(opened.select("sig", F.col("other.grp").alias("key"), F.ceil(F.col("other.size") / BLOCK).alias("parts")), "jaccard-opened")
-    discard(entries)
 
     # Open the qualifying groups: their members, part by part, against their queries.
     keys = opened.select("key").distinct()
     members = grouped.withColumnRenamed("grp", "key").join(keys, "key", "left_semi")
     members = members.select("key", F.pmod("sig", F.ceil(F.col("size") / BLOCK)).alias("part"), F.lit(0).alias("kind"), "sig")
     queries = opened.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "sig")
-    rows = materialize(members.unionByName(queries), "jaccard-meetings")
+    # Members that no query of their part meets often enough, and such queries, need not be fetched.
+    rows = members.unionByName(queries).join(entries.select("token", "sig", "n"), "sig")
+    rows = materialize(_worth_comparing(rows, percent), "jaccard-meetings")
+    discard(entries)
     sets = _sets_of(docs, rows.select("sig"))
     outer = _compare(rows.join(sets, "sig"), percent)
 
