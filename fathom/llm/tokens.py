@@ -2,7 +2,7 @@
 
 Both byte-pair vocabularies split a text into pieces first and encode every piece by itself, and no piece
 reaches across white space (but for one space before a word).  So a text's ids are its chunks' ids in a
-row, a chunk being a run without white space (with the space before it, where the vocabulary keeps
+row, a chunk being what stands between spaces (with the space before it, where the vocabulary keeps
 it) or a run of white space; and a chunk's ids are its pieces'.  For texts within a set of plain Latin
 code points, where the splitting rules are a fixed expression, each distinct chunk is looked up once and
 each distinct piece is encoded once by the tokenizers library; both are remembered in bounded caches,
@@ -16,21 +16,25 @@ import re
 import unicodedata
 
 import numpy as np
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: Code points below this, but for the ones listed, take the fast way: a capital whose lower case is two
 #: code points, and separators on which Python and the vocabularies disagree.
 _PLAIN_END = 0x180
 _PLAIN = re.compile(f"[\x00-\x1b\x20-\u012f\u0131-{chr(_PLAIN_END - 1)}]*")
-#: Distinct chunks remembered before those met only once are forgotten.
-CACHE_CHUNKS = 800_000
+#: Distinct chunks remembered before those met only once are forgotten: fewer where case is dropped.
+CACHE_CHUNKS, CACHE_CHUNKS_LOWER = 800_000, 500_000
 #: Distinct pieces remembered before their cache starts afresh.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Pieces handed to the library at once.
 _LOT = 4096
 #: Space before a word belongs to the word; other white space leaves its last character to what follows.
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
+#: Where no space stands before other white space, texts can be split at their spaces: a chunk then means
+#: itself with a space before it.  Other chunks carry a mark that no plain text has.
+_SPACE_BEFORE_SPACE = tuple(" " + c for c in " \t\n\x0b\x0c\r\x85\xa0")
+_AS_IT_IS = "\x1f"
 
 
 def _class(test) -> str:
@@ -100,10 +104,9 @@ class Encoder:
         self.drops_space = self.tokenizer.normalizer is not None
         self.pieces = _WORD_PIECES if self.drops_space else _BYTE_PIECES
         # Pieces are normalised and split already; this one only maps their bytes and merges.
-        self.merger = Tokenizer.from_file(path)
-        self.merger.encode_special_tokens = True
-        self.merger.normalizer = normalizers.Sequence([])
-        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merger = Tokenizer(self.tokenizer.model)
+        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(_AS_IT_IS, "removed"), bytes_only])
         self.piece = _Store()
         self._forget()
 
@@ -128,6 +131,13 @@ class Encoder:
             self.piece = _Store()
         split, counts = [], []
         for chunk in self.number.new:
+            letters = chunk.isalpha()
+            if not self.drops_space:
+                chunk = chunk[1:] if chunk[:1] == _AS_IT_IS else " " + chunk
+            if letters:
+                split.append(chunk)
+                counts.append(1)
+                continue
             found = self.pieces.findall(chunk)
             split += found
             counts.append(len(found))
@@ -135,7 +145,7 @@ class Encoder:
         unseen = self.piece.number.new
         for at in range(0, len(unseen), _LOT):
             part = unseen[at : at + _LOT]
-            got = self.merger.encode(part, is_pretokenized=True, add_special_tokens=False)
+            got = self.merger.encode(_AS_IT_IS.join(part), add_special_tokens=False)
             self.piece.add(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part)), np.array(got.ids, dtype=np.uint32))
         unseen.clear()
         ids, after = self.piece.gather(which)
@@ -145,9 +155,10 @@ class Encoder:
         self.number.new.clear()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > CACHE_CHUNKS:
+        limit = CACHE_CHUNKS_LOWER if self.drops_space else CACHE_CHUNKS
+        if len(self.number) > limit:
             often = np.flatnonzero(self.met > 1)
-            self._forget(often if len(often) <= CACHE_CHUNKS // 2 else np.sort(often[np.argsort(-self.met[often], kind="stable")[: CACHE_CHUNKS // 2]]))
+            self._forget(often if len(often) <= limit // 2 else np.sort(often[np.argsort(-self.met[often], kind="stable")[: limit // 2]]))
         chunks: list[str] = []
         ends = []
         whole: dict[int, np.ndarray] = {}
@@ -156,8 +167,12 @@ class Encoder:
                 whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
             elif self.drops_space:
                 chunks += text.lower().split()
+            elif text[-1:] == " " or any(pair in text for pair in _SPACE_BEFORE_SPACE):
+                chunks += [_AS_IT_IS + chunk for chunk in _SPACED.findall(text)]
             else:
-                chunks += _SPACED.findall(text)
+                words = text.split(" ")
+                words[0] = _AS_IT_IS + words[0]
+                chunks += words
             ends.append(len(chunks))
         which = np.fromiter(map(self.number.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         if self.number.new:
@@ -179,7 +194,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches_of_texts(texts: list[str], characters: int = 2_000_000):
+def batches_of_texts(texts: list[str], characters: int = 1_000_000):
     """Row ranges of ``texts`` of about so many characters."""
     first = size = 0
     for k, text in enumerate(texts):
