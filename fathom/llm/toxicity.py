@@ -30,11 +30,15 @@ from fathom.llm.shingles import _U64, _power_table, mix, slices, utf8_parts
 
 #: Documents the model is fitted on: confirmed toxic ones and unlabelled ones.
 TOXIC_ROWS, UNLABELLED_ROWS = 4_000, 12_000
-HASH_BITS = 18
+HASH_BITS = 22
 #: Lengths in bytes of the word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5, 6, 7)
-#: A feature takes part if this many toxic documents have it, and so many standard errors more often.
-MIN_TOXIC, MIN_EXCESS, MAX_FEATURES = 3, 4.0, 8_192
+#: A feature takes part if at least so many toxic documents have it, and if the (bounded) chance that so many
+#: would have it at its unlabelled rate is no more than this, and if by the prior at least this share of the
+#: unlabelled documents with it is toxic.
+MIN_TOXIC, MAX_CHANCE, MIN_PURITY, MAX_FEATURES = 3, 1e-6, 0.5, 1_024
+#: Beyond features of this share of the toxic documents, one takes part only for what others leave uncovered.
+MIN_SHARE = 0.02
 STEPS, RATE, RIDGE = 400, 0.1, 1e-4
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -91,21 +95,67 @@ class Model:
         return 1 / (1 + np.exp(-total))
 
 
+def _chosen(toxic: list[np.ndarray], counts: list[np.ndarray], n_t: int, n_u: int, prior: float) -> np.ndarray:
+    """Features that speak for toxicity: frequent ones, and then such as cover what is left.
+
+    Copies of one toxic document share all their rare words.  Once a feature covers them, those words have
+    nothing left to explain, so they do not take part.
+    """
+    rate = (counts[1] + 0.5) / (n_u + 1)
+
+    def evidence(found: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        """Chernoff's bound of a Poisson tail, as a negative logarithm."""
+        k = np.maximum(found, 1)
+        return np.where(found > expected, expected - k * (1 + np.log(expected / k)), 0.0)
+
+    enough = -np.log(MAX_CHANCE)
+    pure = prior * counts[0] >= MIN_PURITY * n_t * rate
+    able = np.flatnonzero((counts[0] >= MIN_TOXIC) & pure & (evidence(counts[0], n_t * rate) >= enough))
+    place = np.full(len(counts[0]), -1)
+    place[able] = np.arange(len(able))
+    own = [np.unique(p[p >= 0]) for p in (place[x] for x in toxic)]
+    having: list[list[int]] = [[] for _ in able]
+    for d, features in enumerate(own):
+        for f in features.tolist():
+            having[f].append(d)
+    open_docs = np.ones(len(toxic), dtype=bool)
+    left = counts[0][able].astype(np.float64)
+    rate_able = rate[able]
+    picked = []
+    while len(picked) < MAX_FEATURES and len(able):
+        score = evidence(left, max(open_docs.sum(), 1) * rate_able)
+        score[(left < MIN_TOXIC) | (score < enough)] = 0
+        best = int(np.argmax(score))
+        if not score[best]:
+            break
+        picked.append(best)
+        for d in having[best]:
+            if open_docs[d]:
+                open_docs[d] = False
+                left[own[d]] -= 1
+    often = np.flatnonzero(counts[0][able] >= MIN_SHARE * n_t)
+    often = often[np.argsort(-counts[0][able][often], kind="stable")[:MAX_FEATURES]]
+    return able[np.union1d(np.array(picked, dtype=np.int64), often).astype(np.int64)]
+
+
 def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Fit on lists of distinct feature arrays."""
     prior = min(max(prior, 1e-3), 0.999)
-    weights = np.zeros(1 << HASH_BITS)
+    weights = np.zeros(1 << HASH_BITS, dtype=np.float32)
     start = float(np.log(prior / (1 - prior)))
     if not toxic or not unlabelled:
         return Model(weights, start)
     counts = [np.bincount(np.concatenate(side), minlength=1 << HASH_BITS) for side in (toxic, unlabelled)]
     n_t, n_u = len(toxic), len(unlabelled)
-    share_t, share_u = counts[0] / n_t, (counts[1] + 0.5) / (n_u + 1)
-    excess = (share_t - share_u) / np.sqrt(share_u * (1 - np.minimum(share_u, 0.999)) * (1 / n_t + 1 / n_u))
-    chosen = np.flatnonzero((counts[0] >= MIN_TOXIC) & (excess >= MIN_EXCESS))
-    chosen = chosen[np.argsort(-excess[chosen], kind="stable")[:MAX_FEATURES]]
+    chosen = _chosen(toxic, counts, n_t, n_u, prior)
     place = np.full(1 << HASH_BITS, -1)
     place[chosen] = np.arange(len(chosen))
+    # Labels may be drawn with more toxic documents than there are.  The share of unlabelled documents that
+    # the features reach, over the share of toxic ones, is what the unlabelled text allows at most.
+    reached = [np.mean([(place[x] >= 0).any() for x in side]) for side in (toxic, unlabelled)]
+    if reached[0] > 0.25:
+        prior = min(prior, max(reached[1] / reached[0], 1e-3))
+        start = float(np.log(prior / (1 - prior)))
 
     def sparse(side):
         at = place[np.concatenate(side)]
