@@ -95,35 +95,50 @@ class Model:
         return 1 / (1 + np.exp(-total))
 
 
-def _chosen(toxic: list[np.ndarray], counts: list[np.ndarray], n_t: int, n_u: int, prior: float) -> np.ndarray:
+def _placed(names: np.ndarray, side: list[np.ndarray]) -> list[np.ndarray]:
+    """For each document the positions of its features among the sorted ``names``."""
+    out = []
+    for x in side:
+        at = np.searchsorted(names, x)
+        at[at == len(names)] = 0
+        out.append(at[names[at] == x] if len(names) else np.zeros(0, dtype=np.int64))
+    return out
+
+
+def _evidence(found: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Chernoff's bound of a Poisson tail, as a negative logarithm."""
+    k = np.maximum(found, 1)
+    return np.where(found > expected, expected - k * (1 + np.log(expected / k)), 0.0)
+
+
+def _chosen(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
     """Features that speak for toxicity: frequent ones, and then such as cover what is left.
 
     Copies of one toxic document share all their rare words.  Once a feature covers them, those words have
     nothing left to explain, so they do not take part.
     """
-    rate = (counts[1] + 0.5) / (n_u + 1)
-
-    def evidence(found: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        """Chernoff's bound of a Poisson tail, as a negative logarithm."""
-        k = np.maximum(found, 1)
-        return np.where(found > expected, expected - k * (1 + np.log(expected / k)), 0.0)
-
+    n_t, n_u = len(toxic), len(unlabelled)
+    names, found = np.unique(np.concatenate(toxic), return_counts=True)
+    names, found = names[found >= MIN_TOXIC], found[found >= MIN_TOXIC]
+    if not len(names):
+        return names
+    common = np.zeros(len(names))
+    for at in _placed(names, unlabelled):
+        common[at] += 1
+    rate = (common + 0.5) / (n_u + 1)
     enough = -np.log(MAX_CHANCE)
-    pure = prior * counts[0] >= MIN_PURITY * n_t * rate
-    able = np.flatnonzero((counts[0] >= MIN_TOXIC) & pure & (evidence(counts[0], n_t * rate) >= enough))
-    place = np.full(len(counts[0]), -1)
-    place[able] = np.arange(len(able))
-    own = [np.unique(p[p >= 0]) for p in (place[x] for x in toxic)]
-    having: list[list[int]] = [[] for _ in able]
+    able = (prior * found >= MIN_PURITY * n_t * rate) & (_evidence(found, n_t * rate) >= enough)
+    names, found, rate = names[able], found[able], rate[able]
+    own = _placed(names, toxic)
+    having: list[list[int]] = [[] for _ in names]
     for d, features in enumerate(own):
         for f in features.tolist():
             having[f].append(d)
-    open_docs = np.ones(len(toxic), dtype=bool)
-    left = counts[0][able].astype(np.float64)
-    rate_able = rate[able]
-    picked = []
-    while len(picked) < MAX_FEATURES and len(able):
-        score = evidence(left, max(open_docs.sum(), 1) * rate_able)
+    open_docs = np.ones(n_t, dtype=bool)
+    left = found.astype(np.float64)
+    picked: list[int] = []
+    while len(picked) < MAX_FEATURES and len(names):
+        score = _evidence(left, max(open_docs.sum(), 1) * rate)
         score[(left < MIN_TOXIC) | (score < enough)] = 0
         best = int(np.argmax(score))
         if not score[best]:
@@ -133,9 +148,9 @@ def _chosen(toxic: list[np.ndarray], counts: list[np.ndarray], n_t: int, n_u: in
             if open_docs[d]:
                 open_docs[d] = False
                 left[own[d]] -= 1
-    often = np.flatnonzero(counts[0][able] >= MIN_SHARE * n_t)
-    often = often[np.argsort(-counts[0][able][often], kind="stable")[:MAX_FEATURES]]
-    return able[np.union1d(np.array(picked, dtype=np.int64), often).astype(np.int64)]
+    often = np.flatnonzero(found >= MIN_SHARE * n_t)
+    often = often[np.argsort(-found[often], kind="stable")[:MAX_FEATURES]]
+    return names[np.union1d(np.array(picked, dtype=np.int64), often).astype(np.int64)]
 
 
 def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
@@ -145,24 +160,17 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -
     start = float(np.log(prior / (1 - prior)))
     if not toxic or not unlabelled:
         return Model(weights, start)
-    counts = [np.bincount(np.concatenate(side), minlength=1 << HASH_BITS) for side in (toxic, unlabelled)]
-    n_t, n_u = len(toxic), len(unlabelled)
-    chosen = _chosen(toxic, counts, n_t, n_u, prior)
-    place = np.full(1 << HASH_BITS, -1)
-    place[chosen] = np.arange(len(chosen))
+    chosen = _chosen(toxic, unlabelled, prior)
+    placed = [_placed(chosen, side) for side in (toxic, unlabelled)]
     # Labels may be drawn with more toxic documents than there are.  The share of unlabelled documents that
     # the features reach, over the share of toxic ones, is what the unlabelled text allows at most.
-    reached = [np.mean([(place[x] >= 0).any() for x in side]) for side in (toxic, unlabelled)]
+    reached = [np.mean([len(x) > 0 for x in side]) for side in placed]
     if reached[0] > 0.25:
-        prior = min(prior, max(reached[1] / reached[0], 1e-3))
+        prior = min(prior, max(float(reached[1] / reached[0]), 1e-3))
         start = float(np.log(prior / (1 - prior)))
 
-    def sparse(side):
-        at = place[np.concatenate(side)]
-        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
-        return row[at >= 0], at[at >= 0], len(side)
-
-    sides = [sparse(toxic), sparse(unlabelled)]
+    sides = [(np.repeat(np.arange(len(side)), [len(x) for x in side]), np.concatenate(side).astype(np.int64), len(side)) for side in placed]
+    n_t, n_u = len(toxic), len(unlabelled)
     w, b = np.zeros(len(chosen)), start
     first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     softplus = lambda z: np.logaddexp(0, z)
@@ -219,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabe
     for toxic, packed in found.toLocalIterator():
         side, bound = (sides[0], toxic_rows) if toxic else (sides[1], unlabelled_rows)
         if len(side) < bound:
-            side.append(np.frombuffer(packed, dtype=np.uint32).astype(np.int64))
+            side.append(np.frombuffer(packed, dtype=np.uint32))
     return train(*sides, prior if prior is not None else 0.5)
 
 
