@@ -6,9 +6,10 @@ names in ``spark.checkpoint.dir``, so a lost executor costs a re-read and nothin
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,25 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: What clears the caches that Python workers keep from task to task.
+_worker_caches: list[Callable[[], None]] = []
+
+
+def kept_in_worker(clear: Callable[[], None]) -> None:
+    _worker_caches.append(clear)
+
+
+def release_worker_memory() -> None:
+    """Called by operators that do not use the kept caches: one worker serves one operator after another, and
+    what an earlier one has kept must not stand beside what a later one needs."""
+    for clear in _worker_caches:
+        clear()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # other C libraries give memory back by themselves
+
+
 def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

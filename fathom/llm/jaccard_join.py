@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import connected_components, discard, emit_segments, fold_segments, materialize, partitions, spanning_edges
+from fathom.llm.common import connected_components, discard, emit_segments, fold_segments, materialize, partitions, release_worker_memory, spanning_edges
 from fathom.llm.shingles import mix, row_sets
 
 #: Counters of the frequency sketch; a parameter of cost, not of the result.
@@ -60,6 +60,7 @@ def _signature(own: np.ndarray) -> int:
 
 def _profile(batches):
     """Per document: id, set size, signature; at the end this task's sketch."""
+    release_worker_memory()
     names = ["doc_id", "n", "sig", "seg", "payload"]
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     mask = np.uint64((1 << SKETCH_BITS) - 1)
@@ -125,6 +126,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def wanted(batches):
+        release_worker_memory()
         member = np.unpackbits(shared.value).astype(bool)
         seen: set[int] = set()
         for batch in batches:
@@ -339,6 +341,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, buckets: int, percent: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def rare_parts(batches):
+        release_worker_memory()
         level, mask = shared.value, np.uint64(len(shared.value) - 1)
         seen: set[int] = set()
         held: list[tuple[np.ndarray, int, int]] = []

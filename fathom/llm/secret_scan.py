@@ -33,6 +33,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fathom.llm.common import release_worker_memory
+
 KINDS = ("assign", "access", "hex", "ghtoken", "npmtoken", "card", "iban", "jwt", "pem")
 BASE_KINDS = KINDS[:3]
 
@@ -151,6 +153,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text, ...)``: counts of the base kinds, their digest, and all spans."""
 
     def run(batches):
+        release_worker_memory()
         words = automaton()
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
@@ -170,6 +173,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets replaced in ``text``; a null text stays null, other columns stay as they are."""
 
     def run(batches):
+        release_worker_memory()
         words = automaton()
         for batch in batches:
             at = batch.schema.get_field_index("text")

@@ -18,6 +18,8 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
+from fathom.llm.common import kept_in_worker
+
 #: Code points below this, but for the ones listed, take the fast way: a capital whose lower case is two
 #: code points, and separators on which Python and the vocabularies disagree.
 _PLAIN_END = 0x180
@@ -194,6 +196,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+kept_in_worker(encoder.cache_clear)
+
+
 def batches_of_texts(texts: list[str], characters: int = 1_000_000):
     """Row ranges of ``texts`` of about so many characters."""
     first = size = 0

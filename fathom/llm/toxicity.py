@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathom.llm.common import release_worker_memory
 from fathom.llm.shingles import _U64, _power_table, mix, slices, utf8_parts
 
 #: Documents the model is fitted on: confirmed toxic ones and unlabelled ones.
@@ -211,6 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabe
     sample = F.broadcast(confirmed.unionByName(others))  # at most toxic_rows + unlabelled_rows ids
 
     def extract(batches):
+        release_worker_memory()
         for batch in batches:
             out: list[list] = [[], []]
             flags = batch.column(1).to_pylist()
@@ -237,6 +239,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
+        release_worker_memory()
         for batch in batches:
             found = pa.array(shared.value.scores(batch.column(batch.schema.get_field_index("text"))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "score"])
