@@ -131,7 +131,7 @@ def percentile_stretch(spark, sf_dir):
 
 # --- metric tables: nations as datasets, priorities as methods, ship modes as seeds
 
-_LONG = """metric AS (SELECT n_name AS dataset, 'm' || (1 + o_orderkey % 3) || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '_seed' || (o_custkey % 5) END AS method, avg(o_totalprice / 600000)::DOUBLE AS auroc, avg(c_acctbal / 10000)::DOUBLE AS ap
+_LONG = """metric AS (SELECT n_name AS dataset, 'm' || (1 + o_orderkey % 3) || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '_seed' || (o_custkey % 5) END AS method, avg(o_totalprice / 600000)::DOUBLE AS auroc, avg(c_acctbal / 9973)::DOUBLE AS ap
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
 _FAM = f"""{_LONG}, fam AS (SELECT dataset, regexp_replace(method, '_seed\\d+$', '') AS family, count(*) AS runs, avg(auroc) AS auroc_mean, coalesce(CASE WHEN count(*) > 1 THEN stddev_samp(auroc) END, 0) AS auroc_sd, avg(ap) AS ap_mean, coalesce(CASE WHEN count(*) > 1 THEN stddev_samp(ap) END, 0) AS ap_sd FROM metric GROUP BY ALL)"""
 
@@ -141,7 +141,7 @@ def _metric(spark, sf_dir) -> DataFrame:
     k = F.col("o_orderkey") % 3
     method = F.concat(F.lit("m"), (1 + k).cast("string"), F.when(k == 0, "").otherwise(F.concat(F.lit("_seed"), (F.col("o_custkey") % 5).cast("string"))))
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy(F.col("n_name").alias("dataset"), method.alias("method")).agg(F.avg(F.col("o_totalprice") / 600000).cast("double").alias("auroc"), F.avg(F.col("c_acctbal") / 10000).cast("double").alias("ap"))
+    return rows.groupBy(F.col("n_name").alias("dataset"), method.alias("method")).agg(F.avg(F.col("o_totalprice") / 600000).cast("double").alias("auroc"), F.avg(F.col("c_acctbal") / 9973).cast("double").alias("ap"))
 
 
 def _families(spark, sf_dir) -> DataFrame:
