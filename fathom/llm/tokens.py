@@ -159,7 +159,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         limit = CACHE_CHUNKS_LOWER if self.drops_space else CACHE_CHUNKS
         if len(self.number) > limit:
-            often = np.flatnonzero(self.met > 1)
+            often = np.flatnonzero(self.met[: len(self.number)] > 1)
             self._forget(often if len(often) <= limit // 2 else np.sort(often[np.argsort(-self.met[often], kind="stable")[: limit // 2]]))
         chunks: list[str] = []
         ends = []
@@ -179,9 +179,9 @@ class Encoder:
         which = np.fromiter(map(self.number.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         if self.number.new:
             self._learn()
-        times = np.bincount(which, minlength=len(self.number))
-        times[: len(self.met)] += self.met
-        self.met = times
+        if len(self.met) < len(self.number):
+            self.met = np.concatenate([self.met, np.zeros(len(self.number) // 2 + 1000, dtype=np.int64)])
+        np.add.at(self.met, which, 1)
         ids, after = _gathered(self.ids, self.starts, which)
         cuts = np.concatenate(([0], after))[ends]
         out = np.split(ids, cuts[:-1]) if len(texts) else []
