@@ -180,7 +180,7 @@ class Encoder:
         if self.number.new:
             self._learn()
         if len(self.met) < len(self.number):
-            self.met = np.concatenate([self.met, np.zeros(len(self.number) // 2 + 1000, dtype=np.int64)])
+            self.met = np.concatenate([self.met, np.zeros(len(self.number) * 3 // 2 + 1000 - len(self.met), dtype=np.int64)])
         np.add.at(self.met, which, 1)
         ids, after = _gathered(self.ids, self.starts, which)
         cuts = np.concatenate(([0], after))[ends]
