@@ -16,15 +16,21 @@ source; repeated rows are separate documents; an empty table gives an empty mix.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import hash_bucket_totals, materialize
+from fathom.llm.common import hash_bucket_totals, materialize, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: The mix has this many times the words of all documents, a source at most twice its own.
 TOTAL, MOST = 1.5, 2
+#: Cells in which words are counted before training is cut into stretches.
+CELLS = 4096
+#: What a row needs to know of its source.
+OF_SOURCE = ("place", "source_size", "target", "wanted")
 #: Weight schedule ``(time, weight)`` for each source in turn: early, level, late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 
@@ -91,6 +97,11 @@ def _order() -> Column:
     return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
+def _mark() -> Column:
+    """Tells texts of one size under a repeated id apart."""
+    return F.xxhash64("text")
+
+
 def _key() -> Column:
     """A source as a join key that is never null."""
     return F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
@@ -98,18 +109,27 @@ def _key() -> Column:
 
 def _placed(docs: DataFrame, weights: tuple[float, ...], total: float, most: int) -> DataFrame:
     """Every document without its text, with its source's target and the supply ``before`` it."""
-    sized = docs.select("doc_id", "source", _size().alias("size"), _order().alias("order"))
+    sized = docs.select("doc_id", "source", _size().alias("size"), _order().alias("order"), _mark().alias("mark"))
     sized = materialize(sized.withColumn("bucket", F.substring("order", 1, 3)), "mixing-sizes")
     targets = source_targets(sized.select("source", "size"), weights, total, most)
 
     keyed = sized.withColumn("key", _key())
     before = hash_bucket_totals(keyed, "key", "bucket", "size").select("key", "bucket", "before_bucket")
-    earlier = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.join(before, ["key", "bucket"]).withColumn("before", F.col("before_bucket") + F.coalesce(F.sum("size").over(earlier), F.lit(0)))
     known = targets.select(_key().alias("key"), "source_size", "place", "target")
     return placed.join(known, "key").withColumn("wanted", F.round("target").cast("long"))
 
 
+def _position(before: Column, schedules) -> Column:
+    """Training position of what its source has ``before`` words of demand ahead of."""
+    share = before / F.greatest(F.col("target"), F.lit(1.0))
+    position = F.lit(None).cast("double")
+    for k, schedule in enumerate(schedules):
+        position = F.when(F.col("place") % len(schedules) == k, inverted_demand(share, schedule)).otherwise(position)
+    return position
+
+
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
     """Every document's ``doc_id, source, size, source_size, target, taken, first_pass, later_passes, position``.
 
@@ -120,58 +140,79 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total:
     left = F.col("wanted") - F.col("before")
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), left - k * F.col("source_size"))).cast("long") for k in range(most)]
     later = sum(passes[1:], F.lit(0).cast("long"))
-    share = F.col("before") / F.greatest(F.col("target"), F.lit(1.0))
-    position = F.lit(None).cast("double")
-    for k, schedule in enumerate(schedules):
-        position = F.when(F.col("place") % len(schedules) == k, inverted_demand(share, schedule)).otherwise(position)
     taken = passes[0] + later
     out = placed.select(
         "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), passes[0].alias("first_pass"), later.alias("later_passes"),
-        F.when(taken > 0, position).alias("position"),
+        F.when(taken > 0, _position(F.col("before"), schedules)).alias("position"),
     )
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-def _ends(placed: DataFrame, most: int) -> DataFrame:
-    """For each source and pass that its demand ends in: where it ends.
+def _runs(placed: DataFrame, most: int, schedules) -> DataFrame:
+    """For each pass and each run of rows that only their number tells apart: its words and where it starts and ends.
 
-    ``end`` is the order key of the document taken in part (or not at all any more); documents before it are
-    taken whole, later ones not.  ``supply`` is what lies before the first document with that key.
+    Without repeated rows, every run is one row.
     """
-    turn = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("turn")
-    rows = placed.select("key", F.struct("order", "doc_id", "size").alias("at"), "size", "before", (F.col("wanted")).alias("wanted"), "source_size")
-    ended = rows.select("*", turn).withColumn("left", F.col("wanted") - F.col("turn") * F.col("source_size"))
-    # The first document that is not taken whole, and then the first of those that share its key.
-    ends = ended.filter((F.col("size") > 0) & (F.col("before") + F.col("size") > F.col("left"))).groupBy("key", "turn").agg(F.min("at").alias("end"), F.first("left").alias("left"))
-    same = rows.join(F.broadcast(ends.select("key", "turn", "end")), "key").filter(F.col("at").eqNullSafe(F.col("end")))
-    supply = same.groupBy("key", "turn").agg(F.min("before").alias("supply"))
-    return ends.join(supply, ["key", "turn"])
-
-
-def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each pass that takes a document.
-
-    Within a source, demand ends at one place of the hashed order in a pass, so the texts stay where they
-    are and meet one small row a source and pass.  A document that a pass takes in part keeps its first
-    words, joined by single spaces.  ``n_chars``, where there is such a column, follows the text.
+    same = ["key", *OF_SOURCE, "order", "doc_id", "size", "mark"]
+    runs = placed.filter("size > 0").groupBy(*same).agg(F.min("before").alias("before"), F.count("*").alias("many"))
+    runs = runs.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("turn"))
+    ahead = F.col("before") + F.col("turn") * F.col("source_size")
+    words = F.least(F.col("many") * F.col("size"), F.col("wanted") - ahead)
+    last = ahead + F.floor((words - 1) / F.col("size")) * F.col("size")
+    at = F.struct("order", "doc_id", "size", "mark").alias("at")
+    return runs.select("key", "turn", *OF_SOURCE, at, "before", words.alias("words"), _position(ahead, schedules).alias("first"), _position(last, schedules).alias("last")).filter("words > 0")
+
+
+def _cuts(runs: DataFrame, slices: int, schedules) -> list[float]:
+    """At most ``slices - 1`` positions that cut training into stretches of about as many words, and no run in two."""
+    low, high = min(s[0][0] for s in schedules), max(s[-1][0] for s in schedules)
+    cell = F.floor((F.col("first") - F.lit(low)) / F.lit((high - low) / CELLS)).cast("int").alias("cell")
+    sums = sorted((r["cell"], r["words"]) for r in runs.groupBy(cell).agg(F.sum("words").alias("words")).collect())  # at most CELLS + 1 rows
+    each, seen, cuts = sum(w for _, w in sums) / slices, 0, []
+    for number, words in sums:
+        if seen >= each * (len(cuts) + 1):
+            cuts.append(low + number * (high - low) / CELLS)
+        seen += words
+    long = runs.filter("last > first").select("first", "last")
+    while cuts:
+        known = F.broadcast(runs.sparkSession.createDataFrame([(c,) for c in cuts], "cut double"))
+        inside = long.join(known, (F.col("first") < F.col("cut")) & (F.col("cut") <= F.col("last"))).groupBy("cut").agg(F.max("last").alias("last")).collect()
+        if not inside:
+            break
+        moved = {r["cut"]: math.nextafter(r["last"], math.inf) for r in inside}
+        cuts = sorted({moved.get(c, c) for c in cuts})
+    return cuts
+
+
+def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each pass that takes a document, range-sorted by
+    the row's training position.
+
+    Positions grow with a source's hashed order, so a stretch of training is one stretch of that order in each
+    source and pass.  Where those start is a small table, from which the texts are dealt to their stretch at once;
+    there a running sum gives each row its supply and position.  A document that a pass takes in part keeps its
+    first words, joined by single spaces.  ``n_chars``, where there is such a column, follows the text.
     Documents without any word are not taken.
     """
-    placed = _placed(docs, weights, total, most)
-    # One row a source and pass: small beside the documents, like the list of sources itself.
-    ends = materialize(_ends(placed, most), "mixing-ends").withColumnRenamed("key", "_key").withColumnRenamed("turn", "_pass")
-    own = docs.withColumns({"_size": _size(), "_order": _order()}).filter("_size > 0")
-    own = own.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-    own = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_turn"))
-    on = (F.col("_source") == F.col("_key")) & (F.col("_turn") == F.col("_pass"))
-    own = own.join(F.broadcast(ends), on, "left")
-    at = F.struct(F.col("_order").alias("order"), F.col("doc_id").alias("doc_id"), F.col("_size").alias("size"))
-    taken = own.filter(F.col("end").isNull() | (at < F.col("end")) | (at.eqNullSafe(F.col("end")) & (F.col("supply") < F.col("left"))))
-    inside = taken.filter(F.col("end").isNull() | ~at.eqNullSafe(F.col("end"))).withColumn("_words", F.col("_size"))
-    # Documents that share the key at which the demand ends: as many as it still reaches.
-    equal = taken.filter(at.eqNullSafe(F.col("end")))
-    turn = F.row_number().over(Window.partitionBy("_source", "_turn").orderBy("text"))
-    equal = equal.withColumn("_words", F.least(F.col("_size"), F.col("left") - F.col("supply") - (turn - 1) * F.col("_size"))).filter("_words > 0")
-    both = inside.unionByName(equal)
+    slices = partitions(docs.sparkSession)
+    runs = materialize(_runs(_placed(docs, weights, total, most), most, schedules), "mixing-runs")
+    cuts = F.array(*(F.lit(c) for c in _cuts(runs, slices, schedules))).cast("array<double>")
+    runs = runs.withColumn("slice", F.size(F.filter(cuts, lambda c: c <= F.col("first"))))
+    starts = runs.groupBy("key", "turn", "slice").agg(F.min(F.struct("at", "before")).alias("start"), F.max("at").alias("stop"), *(F.first(c).alias(c) for c in OF_SOURCE))
+    # One row a source and pass, of at most ``slices`` starts: small beside the documents, like the list of sources itself.
+    known = starts.groupBy("key", "turn").agg(F.sort_array(F.collect_list(F.struct("start.at", "slice", "start.before"))).alias("starts"), F.max("stop").alias("stop"), *(F.first(c).alias(c) for c in OF_SOURCE))
+    known = materialize(known.select(F.col("key").alias("_key"), F.col("turn").alias("_turn"), "starts", "stop", *OF_SOURCE), "mixing-starts")
+
+    own = docs.withColumns({"_size": _size(), "_order": _order(), "_mark": _mark(), "_source": _key()}).filter("_size > 0")
+    own = own.join(F.broadcast(known), F.col("_source") == F.col("_key"))
+    at = F.struct(F.col("_order").alias("order"), F.col("doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_mark").alias("mark"))
+    own = own.withColumn("_at", at).filter(F.col("_at") <= F.col("stop"))
+    own = own.withColumn("_start", F.element_at(F.filter("starts", lambda s: s["at"] <= F.col("_at")), -1)).drop("starts", "stop")
+    own = own.withColumn("_slice", F.col("_start.slice")).repartitionById(slices, "_slice")
+    earlier = Window.partitionBy("_slice", "_key", "_turn").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("_start.before") + F.coalesce(F.sum("_size").over(earlier), F.lit(0)) + F.col("_turn") * F.col("source_size")
+    taken = own.withColumn("_ahead", ahead).withColumn("_words", F.least(F.col("_size"), F.col("wanted") - F.col("_ahead"))).filter("_words > 0")
+    taken = taken.withColumn("_position", _position(F.col("_ahead"), schedules)).sortWithinPartitions("_position", "doc_id")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
     partly = F.col("_words") < F.col("_size")
     columns = []
@@ -182,7 +223,7 @@ def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: fl
             columns.append(F.when(partly, F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
             columns.append(F.col(name))
-    return both.select(*columns)
+    return taken.select(*columns)
 
 
 SQL = r"""

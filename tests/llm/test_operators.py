@@ -322,6 +322,37 @@ def test_mixed_texts_hold_the_words_taken(spark):
     assert mixing.mix_documents(docs.filter("false")).collect() == []
 
 
+def test_mixed_texts_follow_the_curriculum(spark):
+    """Rows of every pass come in the order of a brute-force inversion of their source's demand."""
+    rng = random.Random(9)
+    rows = [(k, prose(rng, rng.randrange(0, 60)), rng.choice(["a", "b", "b", "c", "c", None])) for k in range(300)]
+    rows += [(900, "here again", "a")] * 3 + [(901, "u v w", "b"), (901, "w v u", "b"), (None, "no id", "c"), (902, None, "a")]
+    docs = documents(spark, rows)
+    facts = {r["source"]: (r["place"], r["source_size"], r["target"]) for r in mixing.source_targets(docs.select("source", mixing._size().alias("size"))).collect()}
+    wanted = []
+    for source, (place, size, target) in facts.items():
+        own = sorted((hashlib.md5(str("" if i is None else i).encode()).hexdigest(), i, len(t.split())) for i, t, s in rows if s == source and t)
+        knots = np.array(mixing.SCHEDULES[place % 3])
+        times = np.linspace(0, 1, 20_001)
+        weights = np.interp(times, *knots.T)
+        demand = np.concatenate([[0], np.cumsum((weights[1:] + weights[:-1]) / 2)])
+        for turn in range(mixing.MOST):
+            before = turn * size
+            for _, i, n in own:
+                words = min(n, round(target) - before)
+                if words > 0:
+                    wanted.append((np.interp(before / target, demand / demand[-1], times), i, words))
+                before += n
+    got = mixing.mixed_texts(docs)
+    assert got.rdd.getNumPartitions() > 1
+    found = [(r["doc_id"], len(r["text"].split())) for r in got.collect()]
+    assert sorted(found, key=str) == sorted([(i, n) for _, i, n in wanted], key=str)
+    left = sorted(wanted, key=lambda w: (w[0], str(w[1])))
+    for row, (time, *_) in zip(found, list(left), strict=True):
+        at = next(k for k, w in enumerate(left) if (w[1], w[2]) == row)
+        assert abs(left.pop(at)[0] - time) < 1e-6
+
+
 # --- 5: token files
 
 
