@@ -56,9 +56,11 @@ def fit_support(rows: DataFrame, count: int = 256, beta: float = 0.002, steps: i
     fit_rows, held_rows = (rows.filter((F.col("role") == r) & (F.col("y") == 0)) for r in ("fit", "holdout"))
     if fit_rows.select("image_id").join(held_rows.select("image_id"), "image_id", "left_semi").limit(1).count():
         raise ValueError("fit and holdout share an image")
-    _, groups, x = local_rows(fit_rows)
+    ids, groups, x = local_rows(fit_rows)
     count = min(count, x.shape[1])
-    changed = (perturb or perturbed)(fit_rows).select("vec_id", "kind", "w").orderBy("vec_id").toPandas() if beta else None
+    # Variants of the sampled rows only: at most FIT_ROWS of each kind, in the order of ``x``.
+    sampled = F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in ids.tolist()], rows.select("vec_id").schema))
+    changed = (perturb or perturbed)(fit_rows.join(sampled, "vec_id", "left_semi")).select("vec_id", "kind", "w").orderBy("vec_id").toPandas() if beta else None
     nuisance = Nuisance(x, [np.array(changed[changed["kind"] == k]["w"].tolist()) for k in KINDS]) if beta else None
     tau = neighbours.temperature(fit_rows).first()["temperature"]
     objective = MatchingObjective(x, x, groups, groups, tau, nuisance, beta)

@@ -290,6 +290,18 @@ def test_memory_samples_merge(spark):
     assert {r["vec_id"] for r in incremental.merge_memory(20)(*parts).collect()} == whole
 
 
+def test_fit_support_on_more_rows_than_the_driver_holds(spark, monkeypatch):
+    monkeypatch.setattr(fitting, "FIT_ROWS", 20)
+    monkeypatch.setattr(fitting.local_rows, "__defaults__", (20,))
+    sizes = []
+    original = fitting.Nuisance
+    monkeypatch.setattr(fitting, "Nuisance", lambda x, changed: sizes.append([len(x), *map(len, changed)]) or original(x, changed))
+    rows = patches(spark, SF)
+    assert normal(rows, "fit").count() > 20
+    result = fitting.fit_support(rows, count=6, steps=3, rounds=0)
+    assert sizes == [[20, 20, 20, 20]] and len(result.active) == 6
+
+
 def test_fit_and_evaluate_small(spark):
     rows = patches(spark, SF)
     result = fitting.fit_support(rows, count=12, steps=10, rounds=0)
