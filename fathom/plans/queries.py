@@ -194,7 +194,7 @@ def bootstrap_ci(spark, sf_dir):
     """Paired intervals of two scores under label-stratified weights."""
     local = _tied(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size")), "doc_id").select("y", "s", "size").toPandas()  # one row an evaluated image
     scores = {"chars": local["s"].to_numpy(), "half_seed1": (local["size"] // 2).to_numpy(), "half_seed2": (local["size"] // 3).to_numpy()}
-    drawn = metrics.bootstrap_draws(spark, local["y"].to_numpy(), scores, {"chars": ["chars"], "half": ["half_seed1", "half_seed2"]}, draws=200)
+    drawn = metrics.bootstrap_draws(spark, local["y"].to_numpy(), scores, {"chars": ["chars"], "half": ["half_seed1", "half_seed2"]})
     return metrics.paired_intervals(drawn, "chars")
 
 

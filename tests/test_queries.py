@@ -44,6 +44,13 @@ def test_query_without_sql_has_rows(spark, name):
     assert core.QUERIES[name](spark, SF).count() > 0
 
 
+def test_bootstrap_ci_rests_on_all_draws(spark, monkeypatch):
+    if not os.path.isdir(SF):
+        pytest.skip(f"no tables in {SF}")
+    monkeypatch.setattr(core.metrics, "paired_intervals", lambda drawn, *_: drawn)
+    assert core.QUERIES["bootstrap_ci"](spark, SF).select("draw").distinct().count() == 2000
+
+
 def test_registry_works_without_the_optional_parts():
     import __spark_entry__ as registry
 
