@@ -1,8 +1,10 @@
 """Secret scanning: keyword prefilter, anchored expressions near hits, checksum validation.
 
 One Aho-Corasick pass over the ASCII-lower-cased text finds the keywords.  Only where a keyword
-stands is an expression tried, anchored at that place (or, for a key name in the middle of a
-construct, at the construct's start).  Kinds with an embedded checksum count only if it holds.
+stands is an expression tried, anchored at that place; numbers that have no keyword of their own (cards,
+accounts) are tried at the digits and capitals that stand near a word for them.  Kinds with an embedded
+checksum count only if it holds.  ``hex`` alone has no keyword: a run of digits is all there is to see of
+it, so it is looked for in the whole text.
 
 Base kinds, leftmost and non-overlapping within each kind, in this order:
 
@@ -12,11 +14,16 @@ Base kinds, leftmost and non-overlapping within each kind, in this order:
 
 Kinds added by the method, reported after them: ``ghtoken`` (``ghp_``-style tokens whose last six
 characters are the base-62 CRC-32 of the rest), ``npmtoken`` (the same rule), ``card`` (payment card
-numbers by their Luhn digit), ``iban`` (by the remainder of 97), ``jwt`` (whose header decodes to
-JSON with ``alg``) and ``pem`` (private key blocks).
+numbers by their Luhn digit, near a word for cards), ``iban`` (by the remainder of 97, near a word for
+accounts), ``jwt`` (whose header decodes to a JSON object with ``alg``) and ``pem`` (private key blocks,
+with header lines and with escaped line ends).
 
-Positions are code points, ends exclusive.  Null texts are empty; an empty text has no span; repeated
-rows are scanned each on their own.
+Every expression reads a stretch of text at most a few times, so time grows with a text's length.
+
+Defined results: positions are code points, ends exclusive; null texts are empty and an empty text has
+no span; repeated rows, and rows with a null id, are scanned each on their own; an empty table gives
+none; of one kind spans never overlap, and of spans that start together the kind listed first comes
+first; other columns of any name are not looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +39,7 @@ import zlib
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fathom.llm.common import release_worker_memory
 
@@ -43,17 +51,27 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 _NPM = re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
-_CARD = re.compile(r"[3-6][0-9](?:[ -]?[0-9]){11,17}(?![0-9])")
+_CARD = re.compile(r"[2-6][0-9](?:[ -]?[0-9]){11,17}(?![0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
 _JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+_JWT_RUN = re.compile(r"eyJ[A-Za-z0-9_-]*")
+#: A block reaches to the next five dashes; its body is checked by :func:`_pem_body`.
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----((?:[^-]|-(?!----))*)-----END \1-----")
+_PEM_HEADER = re.compile(r"(?:(?<=\n)|(?<=\\n))[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*(?=\r?\n|\\[nr])")
+_PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s]|\\[nrt])*")
 
 #: Keyword (lower case) to the kind whose expression starts there.
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
     "akia": "access", "npm_": "npmtoken", "eyj": "jwt", "-----begin ": "pem",
     **{f"gh{c}_": "ghtoken" for c in "pousr"},
+    **dict.fromkeys(("card", "visa", "amex", "maestro", "credit", "debit", "payment"), "card"),
+    **dict.fromkeys(("iban", "account", "bank"), "iban"),
 }
+#: Code points before and after a word for cards or accounts in which their numbers may start.
+NEAR_BEFORE, NEAR_AFTER = 48, 64
+#: A token's header is a small object; nothing longer is one.
+MAX_HEADER = 8_192
 _DIGITS62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
 
@@ -85,10 +103,17 @@ def iban(code: str) -> bool:
 
 
 def _jwt_header(part: str) -> bool:
+    if len(part) > MAX_HEADER:
+        return False
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (ValueError, binascii.Error, TypeError):
+        header = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+    except (ValueError, binascii.Error, RecursionError):
         return False
+    return isinstance(header, dict) and "alg" in header
+
+
+def _pem_body(body: str) -> bool:
+    return bool(_PEM_BODY.fullmatch(_PEM_HEADER.sub("", body)))
 
 
 #: Kind to its anchored expression and the test that a match must pass.
@@ -98,10 +123,26 @@ _RULES = {
     "ghtoken": (_GITHUB, lambda m: checksum62(m[1][:30]) == m[1][30:]),
     "npmtoken": (_NPM, lambda m: checksum62(m[1][:30]) == m[1][30:]),
     "jwt": (_JWT, lambda m: _jwt_header(m[1])),
-    "pem": (_PEM, lambda m: True),
+    "pem": (_PEM, lambda m: _pem_body(m[2])),
+}
+#: Kinds whose keywords stand near them: where a match may start (so many code points), its expression and its test.
+START = 4
+_NEAR = {
+    "card": (re.compile(r"(?<![0-9A-Za-z])[2-6][0-9]{3}"), _CARD, luhn),
+    "iban": (re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}"), _IBAN, iban),
 }
-_DIGIT_RUN = re.compile(r"(?<![0-9A-Za-z])[3-6][0-9]{3}")
-_IBAN_START = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}")
+
+
+def _stretches(hits: list[tuple[int, int]]) -> list[list[int]]:
+    """What lies near the hits ``(start, end)``, ascending, without overlaps."""
+    out: list[list[int]] = []
+    for start, end in hits:
+        a, b = max(0, start - NEAR_BEFORE), end + NEAR_AFTER
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def scan(text: str, words: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
@@ -111,8 +152,12 @@ def scan(text: str, words: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
         return spans
     low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # ASCII only: places stay
     free = dict.fromkeys(KINDS, 0)
-    hits = sorted((end - size + 1, kind) for end, (size, kind) in words.iter(low))
-    for start, kind in hits:
+    near: dict[str, list[tuple[int, int]]] = {kind: [] for kind in _NEAR}
+    hits = sorted((end - size + 1, size, kind) for end, (size, kind) in words.iter(low))
+    for start, size, kind in hits:
+        if kind in near:
+            near[kind].append((start, start + size))
+            continue
         if start < free[kind]:
             continue
         expression, holds = _RULES[kind]
@@ -120,12 +165,15 @@ def scan(text: str, words: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
             free[kind] = m.end()
             if holds(m):
                 spans.append((kind, start, m.end()))
+        elif kind == "jwt" and (run := _JWT_RUN.match(text, start)):
+            free[kind] = run.end()  # what fails here fails at every later place of the same run
     spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    for kind, near, expression, holds in (("card", _DIGIT_RUN, _CARD, luhn), ("iban", _IBAN_START, _IBAN, iban)):
-        for hit in near.finditer(text):
-            if hit.start() >= free[kind] and (m := expression.match(text, hit.start())) and holds(m[0]):
-                free[kind] = m.end()
-                spans.append((kind, *m.span()))
+    for kind, (start, expression, holds) in _NEAR.items():
+        for a, b in _stretches(near[kind]):
+            for hit in start.finditer(text, a, b + START - 1):
+                if hit.start() >= free[kind] and (m := expression.match(text, hit.start())) and holds(m[0]):
+                    free[kind] = m.end()
+                    spans.append((kind, *m.span()))
     order = {kind: k for k, kind in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))
 
@@ -170,7 +218,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets replaced in ``text``; a null text stays null, other columns stay as they are."""
+    """``docs`` with secrets replaced in ``text``; a null text stays null.  ``n_chars``, where there is such a column,
+    follows a text that is not null; other columns stay as they are."""
 
     def run(batches):
         release_worker_memory()
@@ -184,4 +233,8 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 texts.append(redact(text, spans) if spans else text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return out
