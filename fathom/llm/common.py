@@ -20,10 +20,12 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one when the session names none (tests)."""
+    """The cluster's shared folder; in local mode (tests), where the session may name none, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="fathom-"))
     return _own_folder[0]
@@ -86,6 +88,34 @@ def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def least_hashed(rows: DataFrame, key: list[str], many: int, total: int) -> DataFrame:
+    """At most ``many`` of ``total`` rows: those of least hashed ``key``.
+
+    A threshold on the hash leaves about twice as many to be sorted, so that what the partitions send to the
+    merge does not grow with their number.
+    """
+    h = F.xxhash64(*key)
+    if total > 2 * many:
+        rows = rows.filter(h <= F.lit(-(1 << 63) + (1 << 64) * 2 * many // total))
+    return rows.orderBy(h, *key).limit(many)
+
+
+def placed_in_order(rows: DataFrame, order: list[str], name: str, stored: str) -> DataFrame:
+    """``rows`` with their place from 0 in ``order``: ranges are sorted side by side, and each starts where the
+    counts of the earlier ones end.  The result is a written table."""
+    n = partitions(rows.sparkSession)
+    laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    laid = laid.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    laid = materialize(laid, stored)
+    sizes = {r[0]: r[1] for r in laid.groupBy("_range").count().collect()}  # one row a range
+    starts, before = [], 0
+    for k in range(n):
+        starts.append(before)
+        before += sizes.get(k, 0)
+    first = F.element_at(F.array(*(F.lit(s).cast("long") for s in starts)), F.col("_range") + 1)
+    return laid.withColumn(name, first + F.col("_at")).drop("_range", "_at")
+
+
 SEGMENT = 1 << 16
 
 
@@ -97,9 +127,11 @@ def emit_segments(counters: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield seg // SEGMENT, part.tobytes()
 
 
-def fold_segments(rows: DataFrame, size: int, how: str) -> np.ndarray:
+def fold_segments(rows: DataFrame, size: int, how: str, decode: np.ndarray | None = None) -> np.ndarray:
     """Sum (``sum``, as uint32) or unite (``or``, as uint8) partial arrays ``(seg, payload)``.
 
+    Payloads are bytes; ``decode`` says which number a byte stands for in a sum.
+
     The fold runs on the executors, one running array per segment; the driver receives the
     finished array, whose ``size`` is a parameter of the caller and not of the data.
     """
@@ -112,7 +144,7 @@ def fold_segments(rows: DataFrame, size: int, how: str) -> np.ndarray:
                 part = np.frombuffer(payload, dtype=np.uint8)
                 own = held.setdefault(seg, np.zeros(len(part), dtype=kind))
                 if how == "sum":
-                    own += part
+                    own += part if decode is None else decode[part]
                 else:
                     own |= part
         yield pa.RecordBatch.from_arrays(

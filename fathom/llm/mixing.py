@@ -5,13 +5,17 @@ is the source's cumulative token demand, scaled so that the whole schedule asks
 target.  Documents of a source stand in a fixed hashed order; the running sum of their sizes is the
 supply.  Inverting the demand at a document's place in the supply gives its training position, and
 the mix is range-sorted by position.  A target beyond the source's size starts a second pass over
-the same order; the document at which the demand ends is taken in part.
+the same order, with training positions of its own; the document at which the demand ends is taken in part.
 
 Running sums never gather a source in one task: documents are summed by (source, hash bucket) first,
-and only the sums of the 4096 buckets are accumulated.
-
-Defined results: null texts have size 0 and are not taken; documents without a source form the last
-source; repeated rows are separate documents; an empty table gives an empty mix.
+and only the sums of the 4096 buckets are accumulated.  Rows that nothing tells apart are one counted
+run until the end, so any number of them is one row in a running sum.
+
+Defined results: null and wordless texts have size 0, no position and are not taken; documents without a
+source form the last source; rows without an id stand in the order of their text's hash; repeated rows
+are separate documents, one behind the other; documents of one hash stand in the order of their id, size
+and text hash; a text may be of any length; an empty table gives an empty mix; extra columns of any name
+and type are kept as they are by :func:`mixed_texts` and not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import hash_bucket_totals, materialize, partitions
+from fathom.llm.common import hash_bucket_totals, materialize, partitions, placed_in_order
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -59,9 +63,9 @@ def inverted_demand(share: Column, schedule) -> Column:
 
 def _weighted(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     """Sources in code point order, null last, with their weights in turn."""
-    # One row a source: the list of sources is small beside the documents.
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    return sources.withColumn("place", place).withColumn("weight", F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("place") % len(weights) + 1).cast("int")))
+    keyed = sources.withColumn("unnamed", F.col("source").isNull())
+    placed = placed_in_order(keyed, ["unnamed", "source"], "place", "mixing-order").drop("unnamed")
+    return placed.withColumn("weight", F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("place") % len(weights) + 1).cast("int")))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
@@ -94,7 +98,9 @@ def _size() -> Column:
 
 
 def _order() -> Column:
-    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """A fixed scattered order of documents; rows without an id are scattered by their texts."""
+    unnamed = F.concat(F.lit("t"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), unnamed))
 
 
 def _mark() -> Column:
@@ -108,15 +114,20 @@ def _key() -> Column:
 
 
 def _placed(docs: DataFrame, weights: tuple[float, ...], total: float, most: int) -> DataFrame:
-    """Every document without its text, with its source's target and the supply ``before`` it."""
+    """Documents without their texts, with their source's target and the supply ``before`` them.
+
+    Rows that nothing tells apart are one row with their number ``many``.
+    """
+    same = ["source", "order", "doc_id", "size", "mark"]
     sized = docs.select("doc_id", "source", _size().alias("size"), _order().alias("order"), _mark().alias("mark"))
-    sized = materialize(sized.withColumn("bucket", F.substring("order", 1, 3)), "mixing-sizes")
-    targets = source_targets(sized.select("source", "size"), weights, total, most)
+    sized = sized.groupBy(*same).agg(F.count("*").alias("many"))
+    sized = materialize(sized.withColumn("bucket", F.substring("order", 1, 3)).withColumn("words", F.col("many") * F.col("size")), "mixing-sizes")
+    targets = source_targets(sized.select("source", F.col("words").alias("size")), weights, total, most)
 
     keyed = sized.withColumn("key", _key())
-    before = hash_bucket_totals(keyed, "key", "bucket", "size").select("key", "bucket", "before_bucket")
+    before = hash_bucket_totals(keyed, "key", "bucket", "words").select("key", "bucket", "before_bucket")
     earlier = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.join(before, ["key", "bucket"]).withColumn("before", F.col("before_bucket") + F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    placed = keyed.join(before, ["key", "bucket"]).withColumn("before", F.col("before_bucket") + F.coalesce(F.sum("words").over(earlier), F.lit(0)))
     known = targets.select(_key().alias("key"), "source_size", "place", "target")
     return placed.join(known, "key").withColumn("wanted", F.round("target").cast("long"))
 
@@ -131,33 +142,29 @@ def _position(before: Column, schedules) -> Column:
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
-    """Every document's ``doc_id, source, size, source_size, target, taken, first_pass, later_passes, position``.
+    """Every document's ``doc_id, source, size, source_size, target, taken, first_pass, later_passes, words, positions, position``.
 
-    ``taken`` counts its words over all passes; ``position`` (0 to 1) is where its first taken word
-    stands in training, null if none is taken.  Rows come range-sorted by position.
+    ``taken`` counts its words over all passes.  ``words[k]`` are those that pass ``k`` takes, and
+    ``positions[k]`` (0 to 1) is where the first of them stands in training, null if the pass takes none;
+    ``position`` is that of the first pass.  Rows come range-sorted by it, those that are not taken first.
     """
     placed = _placed(docs, weights, total, most)
-    left = F.col("wanted") - F.col("before")
-    passes = [F.greatest(F.lit(0), F.least(F.col("size"), left - k * F.col("source_size"))).cast("long") for k in range(most)]
-    later = sum(passes[1:], F.lit(0).cast("long"))
-    taken = passes[0] + later
-    out = placed.select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), passes[0].alias("first_pass"), later.alias("later_passes"),
-        F.when(taken > 0, _position(F.col("before"), schedules)).alias("position"),
+    copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
+    copies = copies.withColumn("before", F.col("before") + F.col("copy") * F.col("size"))
+    ahead = [F.col("before") + k * F.col("source_size") for k in range(most)]
+    words = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("wanted") - a)).cast("long") for a in ahead]
+    places = [F.when(w > 0, _position(a, schedules)) for a, w in zip(ahead, words, strict=True)]
+    out = copies.select(
+        "doc_id", "source", "size", "source_size", "target", sum(words[1:], words[0]).alias("taken"), words[0].alias("first_pass"), sum(words[1:], F.lit(0).cast("long")).alias("later_passes"), F.array(*words).alias("words"), F.array(*places).alias("positions"), places[0].alias("position")
     )
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def _runs(placed: DataFrame, most: int, schedules) -> DataFrame:
-    """For each pass and each run of rows that only their number tells apart: its words and where it starts and ends.
-
-    Without repeated rows, every run is one row.
-    """
-    same = ["key", *OF_SOURCE, "order", "doc_id", "size", "mark"]
-    runs = placed.filter("size > 0").groupBy(*same).agg(F.min("before").alias("before"), F.count("*").alias("many"))
-    runs = runs.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("turn"))
+    """For each pass and each row of :func:`_placed`: its words and where it starts and ends."""
+    runs = placed.filter("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("turn"))
     ahead = F.col("before") + F.col("turn") * F.col("source_size")
-    words = F.least(F.col("many") * F.col("size"), F.col("wanted") - ahead)
+    words = F.least(F.col("words"), F.col("wanted") - ahead)
     last = ahead + F.floor((words - 1) / F.col("size")) * F.col("size")
     at = F.struct("order", "doc_id", "size", "mark").alias("at")
     return runs.select("key", "turn", *OF_SOURCE, at, "before", words.alias("words"), _position(ahead, schedules).alias("first"), _position(last, schedules).alias("last")).filter("words > 0")
@@ -199,40 +206,44 @@ def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: fl
     cuts = F.array(*(F.lit(c) for c in _cuts(runs, slices, schedules))).cast("array<double>")
     runs = runs.withColumn("slice", F.size(F.filter(cuts, lambda c: c <= F.col("first"))))
     starts = runs.groupBy("key", "turn", "slice").agg(F.min(F.struct("at", "before")).alias("start"), F.max("at").alias("stop"), *(F.first(c).alias(c) for c in OF_SOURCE))
-    # One row a source and pass, of at most ``slices`` starts: small beside the documents, like the list of sources itself.
+    # One row a source and pass, of at most ``slices`` starts; its size decides how it is joined.
     known = starts.groupBy("key", "turn").agg(F.sort_array(F.collect_list(F.struct("start.at", "slice", "start.before"))).alias("starts"), F.max("stop").alias("stop"), *(F.first(c).alias(c) for c in OF_SOURCE))
-    known = materialize(known.select(F.col("key").alias("_key"), F.col("turn").alias("_turn"), "starts", "stop", *OF_SOURCE), "mixing-starts")
-
-    own = docs.withColumns({"_size": _size(), "_order": _order(), "_mark": _mark(), "_source": _key()}).filter("_size > 0")
-    own = own.join(F.broadcast(known), F.col("_source") == F.col("_key"))
-    at = F.struct(F.col("_order").alias("order"), F.col("doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_mark").alias("mark"))
-    own = own.withColumn("_at", at).filter(F.col("_at") <= F.col("stop"))
-    own = own.withColumn("_start", F.element_at(F.filter("starts", lambda s: s["at"] <= F.col("_at")), -1)).drop("starts", "stop")
-    own = own.withColumn("_slice", F.col("_start.slice")).repartitionById(slices, "_slice")
-    earlier = Window.partitionBy("_slice", "_key", "_turn").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("_start.before") + F.coalesce(F.sum("_size").over(earlier), F.lit(0)) + F.col("_turn") * F.col("source_size")
-    taken = own.withColumn("_ahead", ahead).withColumn("_words", F.least(F.col("_size"), F.col("wanted") - F.col("_ahead"))).filter("_words > 0")
-    taken = taken.withColumn("_position", _position(F.col("_ahead"), schedules)).sortWithinPartitions("_position", "doc_id")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
-    partly = F.col("_words") < F.col("_size")
+    known = materialize(known, "mixing-starts")
+
+    # The documents' own columns travel in one struct, so that no name of theirs can clash.
+    own = docs.select(F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("row"), _size().alias("size"), _order().alias("order"), _mark().alias("mark"), "doc_id", _key().alias("key")).filter("size > 0")
+    own = own.join(known, "key").withColumn("at", F.struct("order", "doc_id", "size", "mark")).filter("at <= stop")
+    own = own.withColumn("start", F.element_at(F.filter("starts", lambda s: s["at"] <= F.col("at")), -1)).drop("starts", "stop")
+    own = own.withColumn("slice", F.col("start.slice")).repartitionById(slices, "slice")
+    earlier = Window.partitionBy("slice", "key", "turn").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("start.before") + F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.col("turn") * F.col("source_size")
+    taken = own.withColumn("ahead", ahead).withColumn("words", F.least(F.col("size"), F.col("wanted") - F.col("ahead"))).filter("words > 0")
+    taken = taken.withColumn("position", _position(F.col("ahead"), schedules)).sortWithinPartitions("position", "doc_id")
+    text = F.col("row").getField("text")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    partly = F.col("words") < F.col("size")
     columns = []
     for name in docs.columns:
+        same = F.col("row").getField(name)
         if name == "text":
-            columns.append(F.when(partly, cut).otherwise(F.col("text")).alias("text"))
+            same = F.when(partly, cut).otherwise(same)
         elif name == "n_chars":
-            columns.append(F.when(partly, F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-        else:
-            columns.append(F.col(name))
+            same = F.when(partly, F.length(cut)).otherwise(same).cast(docs.schema["n_chars"].dataType)
+        columns.append(same.alias(name))
     return taken.select(*columns)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS ord
+         md5(coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, '')))) AS ord
   FROM documents
 ), sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place,
          (CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight
   FROM sized GROUP BY source
 ), ranked AS (
@@ -244,14 +255,20 @@ WITH sized AS (
   SELECT max((whole - full_before) / open_weight) AS level FROM ranked
   WHERE 2 * source_size > (whole - full_before) / open_weight * weight
 ), targets AS (
-  SELECT source, source_size, CASE WHEN level IS NULL THEN 2.0 * source_size ELSE least((2 * source_size)::DOUBLE, level * weight) END AS target
+  SELECT source, source_size, place, CASE WHEN level IS NULL THEN 2.0 * source_size ELSE least((2 * source_size)::DOUBLE, level * weight) END AS target
   FROM ranked CROSS JOIN levels
 ), placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.size, t.source_size, t.place, t.target, round(t.target)::BIGINT AS wanted,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.ord, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), turns AS (
+  SELECT *, before / greatest(target, 1.0) AS share, (before + source_size) / greatest(target, 1.0) AS next_share FROM placed
 )
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, round(target)::BIGINT - before)) + greatest(0, least(size, round(target)::BIGINT - before - source_size)))::BIGINT AS taken
-FROM placed
+       (greatest(0, least(size, wanted - before)) + greatest(0, least(size, wanted - before - source_size)))::BIGINT AS taken,
+       CASE WHEN least(size, wanted - before) > 0 THEN round(CASE place % 3
+         WHEN 0 THEN 2 * share / (1.5 + sqrt(2.25 - 2 * share)) WHEN 1 THEN share ELSE 2 * share / (0.5 + sqrt(0.25 + 2 * share)) END, 9) END AS position,
+       CASE WHEN least(size, wanted - before - source_size) > 0 THEN round(CASE place % 3
+         WHEN 0 THEN 2 * next_share / (1.5 + sqrt(2.25 - 2 * next_share)) WHEN 1 THEN next_share ELSE 2 * next_share / (0.5 + sqrt(0.25 + 2 * next_share)) END, 9) END AS next_position
+FROM turns
 """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fathom.llm import chat_format, mixing
 from fathom.llm.common import table
@@ -28,7 +29,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_documents(table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken")
+    places = (F.round(F.element_at("positions", k), 9) for k in (1, 2))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", *(p.alias(n) for p, n in zip(places, ("position", "next_position"), strict=True)))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
