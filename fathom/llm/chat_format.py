@@ -5,13 +5,15 @@ each state, the roles that may follow.  Rows are dealt by conversation and sorte
 machine runs over them as they stream by: a task holds one turn at a time, whatever the length of a
 conversation.  Every turn becomes one segment: its formatted text, the place of its body and its loss
 flag.  Control strings inside a text are escaped reversibly: every ``<``, any backslashes, ``|`` gets
-one more backslash, so that no ``<|`` is left in a body.
+one more backslash, so that no ``<|`` is left in a body.  In a role, backslashes are doubled and the
+character that ends a role is written as ``\\n`` before that, so that the first such character ends it.
 
 An invalid turn order never drops a conversation: its turns are formatted all the same and ``error``
 tells the first turn that the machine refuses.
 
 Defined results: a null text or role is empty; rows are ordered by turn, then role, then text, nulls
-first; repeated rows are separate turns; a null id is a conversation of its own; an empty table has none.
+first; repeated rows are separate turns; a null id is a conversation of its own; an empty table has none;
+a text may be of any length; other columns of any name are not looked at.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ class Template:
     after_text: str = "<|im_end|>\n"
     loss_roles: frozenset[str] = frozenset({"assistant"})
 
+    def __post_init__(self):
+        if self.after_role[:1] in ("", "\\", "n", "<", "|"):
+            raise ValueError("a role must end with a character that escaped roles do not need")
+
 
 @dataclass(frozen=True)
 class Machine:
@@ -63,6 +69,24 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: "<" + m[1] + "|", text)
 
 
+_ROLE_ESCAPES = re.compile(r"\\(.)", re.S)
+
+
+def escape_role(role: str, end: str) -> str:
+    """``role`` without the character ``end`` and without control strings."""
+    return escape(role.replace("\\", "\\\\").replace(end, "\\n"))
+
+
+def unescape_role(role: str, end: str) -> str:
+    return _ROLE_ESCAPES.sub(lambda m: end if m[1] == "n" else m[1], unescape(role))
+
+
+def read_turn(formatted: str, template: Template) -> tuple[str, str]:
+    """The role and the text that a formatted turn says."""
+    role, _, rest = formatted.removeprefix(template.before_role).partition(template.after_role)
+    return unescape_role(role, template.after_role[0]), unescape(rest.removesuffix(template.after_text))
+
+
 SEGMENTS = "conv_id long, seq long, formatted string, body_start long, body_end long, loss boolean, error string"
 
 
@@ -106,7 +130,7 @@ def format_conversations(turns: DataFrame, template: Template | None = None, mac
                 if not failed and role not in machine.follows.get(state, frozenset()):
                     error, failed = f"{role or 'no role'} after {state or 'the start'}", True
                 state = role
-                head = template.before_role + escape(role) + template.after_role
+                head = template.before_role + escape_role(role, template.after_role[0]) + template.after_role
                 body = escape(text)
                 pending = [conv, seq, head + body + template.after_text, len(head), len(head) + len(body), role in template.loss_roles, error]
                 seq += 1
@@ -158,9 +182,8 @@ def digest_conversations(segments: DataFrame, template: Template | None = None)
                         close()
                     conversation, n, loss_chars, chars, valid = conv, 0, 0, 0, True
                     turns, loss = hashlib.sha256(), hashlib.sha256()
-                role, _, rest = formatted.removeprefix(template.before_role).partition(template.after_role)
-                text = unescape(rest.removesuffix(template.after_text))
-                turns.update(f"{unescape(role)}\n{text}\n".encode())
+                role, text = read_turn(formatted, template)
+                turns.update(f"{role}\n{text}\n".encode())
                 if flag:
                     spoken = unescape(formatted[start:end])
                     loss.update(spoken.encode())
@@ -197,7 +220,7 @@ WITH turns AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, raw_role NULLS FIRST, raw_text NULLS FIRST) AS spoken,
     coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, raw_role NULLS FIRST, raw_text NULLS FIRST), '') AS learned,
-    sum(length('<|im_start|>') + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + 1
+    sum(length('<|im_start|>') + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + 1
       + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length('<|im_end|>') + 1) AS formatted_chars,
     NOT bool_or(bad) AND max_by(role, place) = 'assistant' AS valid
   FROM (
