@@ -8,12 +8,17 @@ threshold cosine in random directions, and the limit is the excess within which
 them stays.  A pair is found if either side visits the other, so its recall is higher still, and
 closer pairs are found more often.  Everything found is verified in double precision.
 
-Equal vectors are folded into one weighted class first.  A cell's residents are compared in bounded
-parts; a task reports counts and a spanning forest of its links, never all pairs of a group.
+The codebooks have as many words as cost the least on the sample: finer cells hold fewer rows to compare
+but more of them have to be visited.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components link with
-nothing; rows that repeat an id count once (its least vector); vectors of different lengths never
-link; a null id has no links and a null component.
+Equal vectors are folded into one weighted class first.  Cells are compared in bounded parts and lots; a
+task reports counts and a spanning forest of its links, never all pairs of a group.
+
+Defined results: every row is a vector of its own, so rows that repeat an id are compared with each other
+too, and equal rows are linked; vectors that are null, zero, or hold null or non-finite components link with
+nothing; vectors of different lengths never link; a null id is never a component's id unless its whole
+component has none, and then the component's id is null; ties at exactly the threshold link; an empty table
+gives an empty result; columns besides ``vec_id`` and ``embedding`` are not looked at.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ from fathom.llm.common import connected_components, materialize, partitions, spa
 SAMPLE_ROWS = 20_000
 #: Share of pairs at exactly the threshold that one side's traversal has to reach.
 TARGET_RECALL = 0.985
-#: Rows a cell should have on average, and the largest codebook.
-CELL_ROWS, MAX_CODEWORDS = 48, 1024
+#: What sending a vector to a cell costs, in comparisons, and the sampled rows a codeword should rest on.
+SEND_COST, WORD_ROWS = 100, 8
 _SEED = 20_261
 
 
@@ -45,17 +50,32 @@ class MultiIndex:
         rng = np.random.default_rng(_SEED)
         unit = sample / np.linalg.norm(sample, axis=1)[:, None]
         self.half = max(1, unit.shape[1] // 2)
-        k = codewords or min(MAX_CODEWORDS, max(2, 1 << round(math.log2(max(4.0, rows / CELL_ROWS)) / 2)))
-        self.books = [cells.kmeans(h, k, rng) for h in self._halves(unit)]
         moved = rng.standard_normal(unit.shape)
         moved -= (moved * unit).sum(1)[:, None] * unit
         length = np.linalg.norm(moved, axis=1)[:, None]
         moved = np.where(length > 0, moved / np.where(length > 0, length, 1), 0)
         at = threshold * unit + math.sqrt(1 - threshold * threshold) * moved
-        one, two = self.excess(unit)
-        i, j = self.home(at)
-        row = np.arange(len(unit))
-        self.limit = float(np.quantile(one[row, i] + two[row, j], recall)) + 1e-9
+        best = None
+        k = codewords or 2
+        while True:
+            self.books = [cells.kmeans(h, k, rng) for h in self._halves(unit)]
+            one, two = self.excess(unit)
+            i, j = self.home(at)
+            row = np.arange(len(unit))
+            self.limit = float(np.quantile(one[row, i] + two[row, j], recall)) + 1e-9
+            cost = self._visits(one[:256], two[:256]) * (SEND_COST + rows / (len(self.books[0]) * len(self.books[1])))
+            if best is None or cost < best[0]:
+                best = (cost, self.books, self.limit)
+            elif cost > 2 * best[0]:
+                break
+            k *= 2
+            if codewords or k * WORD_ROWS > len(unit) or k * k > 2 * rows:
+                break
+        _, self.books, self.limit = best
+
+    def _visits(self, one: np.ndarray, two: np.ndarray) -> float:
+        """Cells that a row visits, on average."""
+        return float(np.mean([np.searchsorted(np.sort(b), self.limit - a, side="right").sum() for a, b in zip(one, two, strict=True)]))
 
     def _halves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rest = unit[:, self.half :] if unit.shape[1] > self.half else np.zeros((len(unit), 1))
@@ -103,46 +123,45 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _links_of_dimension(classes: DataFrame, dimension: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """From ``classes(vec_id, embedding, weight)``: links counted by class, and connecting edges."""
+    """From ``classes(key, embedding, weight)``: links counted by class, and connecting edges."""
     spark = classes.sparkSession
     rows = classes.count()
-    _, sample = cells.bounded_sample(classes, SAMPLE_ROWS, dimension)
+    sample = cells.bounded_sample(classes, SAMPLE_ROWS, rows, dimension)
     index = MultiIndex(_unit(sample), rows, threshold)
     shared = spark.sparkContext.broadcast(index)
     stored = cells.stored_type(classes)
 
-    def home_cells(batches):
+    def visits(unit):
+        """Home cells of the rows, and ``(row, cell)`` of what they visit."""
+        index = shared.value
+        home = index.cell(*index.home(unit)).astype(np.int64)
+        one, two = index.excess(unit)
+        row, to = [], []
+        for r in range(len(unit)):
+            found = multi_sequence(one[r], two[r], index.limit)
+            row += [r] * len(found)
+            to += [index.cell(i, j) for i, j in found]
+        return home, np.array(row, dtype=np.int64), np.array(to, dtype=np.int64)
+
+    def counted(batches):
         for batch in batches:
-            unit = _unit(cells.matrix(batch.column(0), dimension))
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value.cell(*shared.value.home(unit)), pa.int64())], names=["cell"])
+            if len(batch):
+                home, _, to = visits(_unit(cells.matrix(batch.column(0), dimension)))
+                yield cells.loads(home, to)
 
-    parts = cells.split_cells(classes.select("embedding").mapInArrow(home_cells, "cell long").groupBy("cell").count())
+    split = cells.split_cells(classes.select("embedding").mapInArrow(counted, cells.LOADS), "embedding-split")
 
     def blocks(batches):
         for batch in batches:
-            index = shared.value
             if not len(batch):
                 continue
             ids = batch.column(0).to_numpy()
             vectors = cells.matrix(batch.column(1), dimension)
-            unit = _unit(vectors)
-            weight = batch.column(2).to_numpy()
-            home = index.cell(*index.home(unit)).astype(np.int64)
-            extra = np.stack([home, weight], axis=1).astype(np.int64)
-            own_part = np.array([i % parts.get(c, 1) for i, c in zip(ids.tolist(), home.tolist(), strict=True)], dtype=np.int64)
-            everyone = np.arange(len(ids))
+            home, row, to = visits(_unit(vectors))
+            extra = np.stack([home, batch.column(2).to_numpy()], axis=1).astype(np.int64)
             kept = vectors.astype(stored)
-            yield from cells.pack(home, own_part, 0, everyone, ids, kept, extra)
-            one, two = index.excess(unit)
-            row, to, part = [], [], []
-            for r in range(len(ids)):
-                for i, j in multi_sequence(one[r], two[r], index.limit):
-                    c = index.cell(i, j)
-                    for p in range(parts.get(c, 1)):
-                        row.append(r)
-                        to.append(c)
-                        part.append(p)
-            yield from cells.pack(np.array(to, dtype=np.int64), np.array(part, dtype=np.int64), 1, np.array(row, dtype=np.int64), ids, kept, extra)
+            yield from cells.pack(home, 0, np.arange(len(ids)), ids, kept, extra)
+            yield from cells.pack(to, 1, row, ids, kept, extra)
 
     def verify(batches):
         index = shared.value
@@ -178,28 +197,33 @@ def _links_of_dimension(classes: DataFrame, dimension: int, threshold: float) ->
                 yield flush()
         yield flush()
 
-    met = cells.dealt(classes.select("vec_id", "embedding", "weight").mapInArrow(blocks, cells.BLOCKS), partitions(spark))
+    met = cells.dealt(classes.select("key", "embedding", "weight").mapInArrow(blocks, cells.BLOCKS), split, partitions(spark))
     found = materialize(met.mapInArrow(verify, "u long, v long, links long"), "embedding-links")
-    return found.filter("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links")), found.filter("v is not null").select("u", "v")
+    return found.filter("links is not null").groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links")), found.filter("v is not null").select("u", "v")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` for every id of ``vectors(vec_id, embedding, ...)``."""
-    rows = materialize(cells.one_row_per_id(vectors), "embedding-rows")
-    good = rows.filter(cells.usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")), "embedding-classes")
+    """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding, ...)``.
+
+    One set of jobs runs for each length of vector that there is; an embedding table has one.
+    """
+    rows = vectors.select("vec_id", "embedding")
+    good = rows.filter(cells.usable(F.col("embedding")))
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    classes = materialize(classes.withColumn("key", F.monotonically_increasing_id()), "embedding-classes")
     sizes = sorted(r[0] for r in classes.select(F.size("embedding")).distinct().collect())
     links, edges = None, None
     for size in sizes:
         more, ends = _links_of_dimension(classes.filter(F.size("embedding") == size), size, threshold)
         links, edges = (more, ends) if links is None else (links.unionByName(more), edges.unionByName(ends))
-    blank = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    kept = F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
+    blank = rows.filter(~cells.usable(F.col("embedding"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if links is None:
         return blank
+    # xxhash64 of one long loses nothing: nodes stay as distinct as the keys.
     scattered = edges.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))
     component = connected_components(scattered, "embedding-components")
-    named = classes.select("embedding", F.col("vec_id").alias("rep"), "weight").withColumn("node", F.xxhash64("rep")).join(component, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = named.join(least, "root").join(links, "rep", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    out = good.join(known, "embedding").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return out.unionByName(blank.join(good.select(F.col("vec_id").alias("good")), F.col("vec_id") == F.col("good"), "left_anti"))
+    named = classes.select("embedding", "key", "least", "weight").withColumn("node", F.xxhash64("key")).join(component, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = named.join(ids, "root").join(links, "key", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    return good.join(known, "embedding").select("vec_id", "n_links", "component_id", kept).unionByName(blank)

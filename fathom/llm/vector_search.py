@@ -10,9 +10,11 @@ off than those among all rows, so the calibrated width errs on the safe side.
 Queries go to the parts of the leaves they visit; each task keeps a running best list a query and
 scores are recomputed exactly on the original vectors.
 
-Defined results: vectors that are null, zero or hold null or non-finite components take no part;
-rows that repeat an id count once (its least vector); only vectors of the same length are compared;
-a query always visits enough leaves to fill its list if there are candidates enough.
+Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do
+rows without an id; every other row is a candidate, and a query if its id says so, so rows that repeat an
+id are found each and ask each (one list a row); only vectors of the same length are compared; ties go to
+the smaller id; a query always visits enough leaves to fill its list if there are candidates enough; an
+empty table gives an empty result; columns besides ``vec_id`` and ``embedding`` are not looked at.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 from fathom.llm import cells
 from fathom.llm.common import materialize, partitions
 
-#: Rows the tree and the calibration are fitted on, and sampled queries of the calibration.
-SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 256
+#: Rows the tree and the calibration are fitted on: ``LEAF_SAMPLE`` a leaf, between the two bounds; sampled
+#: queries of the calibration.
+SAMPLE_ROWS, MAX_SAMPLE_ROWS, LEAF_SAMPLE, SAMPLE_QUERIES = 20_000, 262_144, 4, 256
 TARGET_RECALL = 0.97
-BRANCHES, LEAF_ROWS, MAX_LEAVES = 8, 256, 4096
+#: Leaves grow with the rows, as far as the sample and the tree's size in every worker allow.
+BRANCHES, LEAF_ROWS, TREE_BYTES = 8, 256, 64 << 20
 _SEED = 9_973
 
 
@@ -116,88 +120,110 @@ class Tree:
         self.visits = min(self.visits, self.leaves)
 
 
+def leaf_count(rows: int, dimension: int) -> int:
+    return max(1, min(rows // LEAF_ROWS, MAX_SAMPLE_ROWS // LEAF_SAMPLE, TREE_BYTES // (8 * dimension)))
+
+
 def _search_dimension(good: DataFrame, dimension: int, every: int, k: int, target: float) -> DataFrame:
     spark = good.sparkSession
     rows = good.count()
-    _, sample = cells.bounded_sample(good, SAMPLE_ROWS, dimension)
-    tree = Tree(sample, min(MAX_LEAVES, max(1, rows // LEAF_ROWS)))
+    leaves = leaf_count(rows, dimension)
+    sample = cells.bounded_sample(good, max(SAMPLE_ROWS, LEAF_SAMPLE * leaves), rows, dimension)
+    tree = Tree(sample, leaves)
     tree.calibrate(sample, k, target)
     shared = spark.sparkContext.broadcast(tree)
     stored = cells.stored_type(good)
 
-    def leaves(batches):
+    def own_leaves(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.assign(cells.matrix(batch.column(0), dimension)), pa.int64())], names=["cell"])
 
-    counts = good.select("embedding").mapInArrow(leaves, "cell long").groupBy("cell").count().collect()  # at most MAX_LEAVES rows
+    counts = good.select("embedding").mapInArrow(own_leaves, "cell long").groupBy("cell").count().collect()  # one row a leaf
     filled = np.zeros(tree.leaves, dtype=np.int64)
     for r in counts:
         filled[r["cell"]] = r["count"]
-    parts = np.maximum(1, -(-filled // cells.PART_ROWS))
 
-    def blocks(batches):
+    def visits(vectors):
+        """``(row, leaf)`` of the leaves that queries visit."""
         tree = shared.value
+        to_nodes = cells.squared_distances(vectors, tree.centres)
+        row, to = [], []
+        for r, distance in enumerate(to_nodes):
+            seen = visited = 0
+            for cell in tree.best_bins(distance):
+                if visited >= tree.visits and seen > k:
+                    break
+                visited += 1
+                seen += int(filled[cell])
+                row.append(r)
+                to.append(cell)
+        return np.array(row, dtype=np.int64), np.array(to, dtype=np.int64)
+
+    def counted(batches):
+        for batch in batches:
+            if len(batch):
+                _, to = visits(cells.matrix(batch.column(0), dimension))
+                yield cells.loads(np.zeros(0, dtype=np.int64), to)
+
+    asking = good.filter(F.col("vec_id") % every == 0)
+    asked = asking.select("embedding").mapInArrow(counted, cells.LOADS)
+    residents = spark.createDataFrame([(c, int(n), 0) for c, n in enumerate(filled.tolist())], cells.LOADS)
+    split = cells.split_cells(asked.unionByName(residents), "search-split")
+
+    def blocks(batches):
         for batch in batches:
             if not len(batch):
                 continue
             ids = batch.column(0).to_numpy()
-            vectors = cells.matrix(batch.column(1), dimension)
+            names = batch.column(1).to_numpy()
+            vectors = cells.matrix(batch.column(2), dimension)
             kept = vectors.astype(stored)
-            leaf = tree.assign(vectors)
-            none = np.zeros((len(ids), 0), dtype=np.int64)
-            yield from cells.pack(leaf, ids % parts[leaf], 0, np.arange(len(ids)), ids, kept, none)
-            asked = np.flatnonzero(ids % every == 0)
-            to_nodes = cells.squared_distances(vectors[asked], tree.centres)
-            row, to, part = [], [], []
-            for r, distance in zip(asked.tolist(), to_nodes, strict=True):
-                seen = visited = 0
-                for cell in tree.best_bins(distance):
-                    if visited >= tree.visits and seen > k:
-                        break
-                    visited += 1
-                    seen += int(filled[cell])
-                    for p in range(int(parts[cell])):
-                        row.append(r)
-                        to.append(cell)
-                        part.append(p)
-            yield from cells.pack(np.array(to, dtype=np.int64), np.array(part, dtype=np.int64), 1, np.array(row, dtype=np.int64), ids, kept, none)
+            yield from cells.pack(shared.value.assign(vectors), 0, np.arange(len(ids)), ids, kept, names[:, None])
+            asked = np.flatnonzero(names % every == 0)
+            row, to = visits(vectors[asked])
+            yield from cells.pack(to, 1, asked[row], ids, kept, names[:, None])
 
     def nearest(batches):
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
 
         def flush():
-            qs = np.repeat(np.array(list(best), dtype=np.int64), [len(v[0]) for v in best.values()])
-            ids = np.concatenate([v[1] for v in best.values()]) if best else np.zeros(0, dtype=np.int64)
-            ds = np.concatenate([v[0] for v in best.values()]) if best else np.zeros(0)
+            many = [len(v[1]) for v in best.values()]
+            keys = np.repeat(np.array(list(best), dtype=np.int64), many)
+            names = np.repeat(np.array([v[0] for v in best.values()], dtype=np.int64), many)
+            ds = np.concatenate([v[1] for v in best.values()]) if best else np.zeros(0)
+            ids = np.concatenate([v[2] for v in best.values()]) if best else np.zeros(0, dtype=np.int64)
             best.clear()
-            return pa.RecordBatch.from_arrays([pa.array(qs), pa.array(ids), pa.array(ds)], names=["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names), pa.array(ids), pa.array(ds)], names=["key", "query_id", "vec_id", "score"])
 
-        for _, (rid, rvec, _x), (qid, qvec, _y) in cells.meetings(batches, dimension, stored, np.int64):
+        for _, (rkey, rvec, rname), (qkey, qvec, qname) in cells.meetings(batches, dimension, stored, np.int64):
             rough = cells.squared_distances(qvec, rvec)
-            rough[qid[:, None] == rid[None, :]] = np.inf
+            rough[qkey[:, None] == rkey[None, :]] = np.inf
             m = min(k, rough.shape[1])
             bound = np.partition(rough, m - 1, axis=1)[:, m - 1]
             slack = 1e-9 * ((qvec * qvec).sum(1) + (rvec * rvec).sum(1).max())
-            for i, q in enumerate(qid.tolist()):
+            for i, q in enumerate(qkey.tolist()):
                 at = np.flatnonzero((rough[i] <= bound[i] + slack[i]) & np.isfinite(rough[i]))
                 score = np.sqrt(((rvec[at] - qvec[i]) ** 2).sum(1))
-                ids = rid[at]
+                ids = rname[at, 0]
                 if q in best:
-                    score, ids = np.concatenate((best[q][0], score)), np.concatenate((best[q][1], ids))
+                    score, ids = np.concatenate((best[q][1], score)), np.concatenate((best[q][2], ids))
                 order = np.lexsort((ids, score))[:k]
-                best[q] = score[order], ids[order]
+                best[q] = int(qname[i, 0]), score[order], ids[order]
             if len(best) > 100_000:
                 yield flush()
         yield flush()
 
-    met = cells.dealt(good.select("vec_id", "embedding").mapInArrow(blocks, cells.BLOCKS), partitions(spark))
-    return met.mapInArrow(nearest, "query_id long, vec_id long, score double")
+    met = cells.dealt(good.select("key", "vec_id", "embedding").mapInArrow(blocks, cells.BLOCKS), split, partitions(spark))
+    return met.mapInArrow(nearest, "key long, query_id long, vec_id long, score double")
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, target: float = TARGET_RECALL) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each id divisible by ``every``."""
-    good = cells.one_row_per_id(vectors).filter(cells.usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    good = materialize(good, "search-rows")
+    """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each row whose id ``every`` divides.
+
+    One set of jobs runs for each length of vector that there is; an embedding table has one.
+    """
+    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(cells.usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    good = materialize(good.withColumn("key", F.monotonically_increasing_id()), "search-rows")
     sizes = sorted(r[0] for r in good.select(F.size("embedding")).distinct().collect())
     found = None
     for size in sizes:
@@ -205,5 +231,5 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, target
         found = part if found is None else found.unionByName(part)
     if found is None:
         return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    nearest_first = Window.partitionBy("key").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
