@@ -10,10 +10,15 @@ back into the multiset.  The last open window is cut into sequences of powers of
 nothing is padded.
 
 The plan is made of rank ranges ("the k-th remainder of length n"); ranks are running counts within
-scan tasks plus offsets from a small count table, so no length is ever gathered in one task.
-
-Defined results: a null text is empty and has the one token that ends it; repeated rows are packed
-each on their own; an empty table gives no piece.
+scan tasks plus offsets from a small count table, so no length is ever gathered in one task.  A filling is
+repeated until some length has fewer pieces left than one more window would take of it, fewer than the window
+divided by the length.  So the turns, and the rows of a plan, are bounded by the window and not by the
+documents; the size is looked at all the same before the plan is sent to every task.
+
+Defined results: a null text is empty and has the one token that ends it; repeated rows, and rows with a
+null id, are packed each on their own; a text may be of any length, its full windows are sequences of
+their own; remainders of one length are taken in the order of the scan; an empty table gives no piece;
+other columns of any name are not looked at.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ from fathom.llm.common import materialize
 from fathom.llm.tokens import batches_of_texts, encoder
 
 WINDOW, END_ID = 2048, 1
-#: Rows of a plan; more means the plan would not be a small table any more.
-MAX_PLAN_ROWS = 1_000_000
+#: Plans of so many rows (nine numbers each) go to every task; a larger one is joined by remainder length.
+SMALL_PLAN = 200_000
 
 
 def fill(lengths: list[tuple[int, int]], space: int) -> dict[int, int]:
@@ -172,8 +177,9 @@ def _measured(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame
 
 def _cut_checksums(docs: DataFrame, cut: DataFrame, path: str, end_id: int) -> DataFrame:
     """Checksums of pieces of cut remainders; only the documents concerned are encoded again."""
-    wanted = cut.groupBy("doc_id").agg(F.collect_set(F.struct("doc_tokens", "rest_crc", "start", "length")).alias("pieces"))
-    wanted = wanted.withColumnRenamed("doc_id", "cut_id")
+    wanted = cut.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_set(F.struct("doc_tokens", "rest_crc", "start", "length")).alias("pieces"))
+    # Written first: with its size known, a small table goes to the texts and no text is shuffled.
+    wanted = materialize(wanted, "packing-cut")
 
     def run(batches):
         encode = encoder(path).encode
@@ -204,10 +210,10 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = END_I
     counts = materialize(counts.withColumn("before", F.coalesce(F.sum("many").over(earlier), F.lit(0))), "packing-counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("rest").agg(F.sum("many")).collect()}  # fewer rows than a window has tokens
     rows, sequences = plan(histogram)
-    if len(rows) > MAX_PLAN_ROWS:
-        raise ValueError(f"a packing plan of {len(rows)} rows is too large to broadcast")
     names = "origin long, rank_from long, rank_to long, cut_start long, length long, k_from long, per_window long, sequence long, at long"
-    planned = F.broadcast(spark.createDataFrame(rows, names))
+    planned = spark.createDataFrame(rows, names)
+    if len(rows) <= SMALL_PLAN:
+        planned = F.broadcast(planned)
 
     ranked = measured.filter("rest > 0").join(counts.select("rest", "part", "before"), ["rest", "part"])
     ranked = ranked.withColumn("place", F.col("rank") + F.col("before"))

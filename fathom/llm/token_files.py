@@ -14,7 +14,9 @@ Files travel through Spark as rows of a Parquet table: the commit protocol makes
 harmless, and any store that Spark can write will do.
 
 Defined results: a null text is empty and has its end id alone; null document ids come first; equal
-document ids keep a fixed order by the hash of their text; an empty table gives no file.
+document ids keep a fixed order by the hash of their text; repeated rows are written each on their own;
+a document may be of any length (it may fill a file by itself); an empty table gives no file; other
+columns of any name are not looked at.
 """
 
 from __future__ import annotations
@@ -175,8 +177,9 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
         if held:
             yield close()
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    ordered = keyed.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    # Rows alike in id and text may be many; their place in the scan lets them lie in several ranges.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("at"))
+    ordered = keyed.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie", "at").sortWithinPartitions("doc_id", "tie")
     return materialize(ordered.select("doc_id", "text").mapInArrow(run, "part long, file long, n_ids long, payload binary"), "token-files")
 
 

@@ -6,12 +6,14 @@ row, a chunk being what stands between spaces (with the space before it, where t
 it) or a run of white space; and a chunk's ids are its pieces'.  For texts within a set of plain Latin
 code points, where the splitting rules are a fixed expression, each distinct chunk is looked up once and
 each distinct piece is encoded once by the tokenizers library; both are remembered in bounded caches,
-which a Python worker keeps from task to task.  Any other text goes to the library whole.
+which a Python worker keeps from task to task.  Any other text goes to the library whole, and so does one
+that holds the string of a token added to the vocabulary, which the library finds before it splits.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import re
 import unicodedata
 
@@ -101,7 +103,10 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What the added tokens' strings have in common, up to the first letter: a quick test before the exact one.
+        self.added_mark = re.match(r"[^\w\s]*", os.path.commonprefix(added))[0]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)", re.IGNORECASE)
         #: A vocabulary that normalises drops white space and letter case.
         self.drops_space = self.tokenizer.normalizer is not None
         self.pieces = _WORD_PIECES if self.drops_space else _BYTE_PIECES
@@ -165,7 +170,7 @@ class Encoder:
         ends = []
         whole: dict[int, np.ndarray] = {}
         for k, text in enumerate(texts):
-            if not _PLAIN.fullmatch(text):
+            if not _PLAIN.fullmatch(text) or (self.added_mark in text and self.added.search(text)):
                 whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
             elif self.drops_space:
                 chunks += text.lower().split()
