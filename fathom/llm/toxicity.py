@@ -13,7 +13,10 @@ Only rows outside the held-out fifth (crc32 of the id as text, modulo 5, is 0) l
 depend on the text alone.  Whole texts are scored in one vectorised pass.
 
 Defined results: null and empty texts get the score of a text without any feature; repeated rows score
-alike; with no toxic training row every score is the prior; a null id counts as the empty string.
+alike; with no toxic training row every score is the prior; a null id counts as the empty string for the
+held-out fifth and lends no label; of texts that share an id the one of least hash is learned from; an id
+with several labels is toxic if any says so; a text may be of any length; an empty table gives an empty
+result; columns besides ``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations
@@ -24,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fathom.llm.common import release_worker_memory
+from fathom.llm.common import least_hashed, release_worker_memory
 from fathom.llm.shingles import _U64, _power_table, mix, slices, utf8_parts
 
 #: Documents the model is fitted on: confirmed toxic ones and unlabelled ones.
@@ -47,7 +49,7 @@ _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 
 
 def _features(column: pa.Array, wanted: np.ndarray | None = None):
-    """``(first row, rows, feature)`` for stretches of rows: distinct hashed features of each row.
+    """``(first row, number of rows, rows, feature)`` for stretches of rows: distinct hashed features of each row.
 
     With ``wanted`` (a mask over the hash range) only those features are looked at.
     """
@@ -79,7 +81,7 @@ def _features(column: pa.Array, wanted: np.ndarray | None = None):
                     feature, r = feature[keep], r[keep]
                 keys.append((r << HASH_BITS) | feature)
         both = np.unique(np.concatenate(keys))
-        yield first, both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
+        yield first, last - first, both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
 
 
 @dataclass
@@ -89,7 +91,7 @@ class Model:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         total = np.full(len(column), self.bias)
-        for first, rows, feature in _features(column, self.weights != 0):
+        for first, _, rows, feature in _features(column, self.weights != 0):
             if len(rows):
                 part = np.bincount(rows, weights=self.weights[feature])
                 total[first : first + len(part)] += part
@@ -205,10 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabe
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = docs.select("doc_id").filter(~held_out(F.col("doc_id")))
-    confirmed = ids.join(known.filter("toxic = 1"), "doc_id", "left_semi").distinct().orderBy(*by_hash).limit(toxic_rows).withColumn("toxic", F.lit(True))
-    others = ids.distinct().orderBy(*by_hash).limit(unlabelled_rows).withColumn("toxic", F.lit(False))
+    ids = docs.select("doc_id").filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).distinct()
+    bad = known.filter("toxic = 1").select("doc_id")
+    sizes = ids.agg(F.count("*").alias("ids")).crossJoin(bad.agg(F.count("*").alias("bad"))).first()
+    confirmed = least_hashed(ids.join(bad, "doc_id", "left_semi"), ["doc_id"], toxic_rows, sizes["bad"]).withColumn("toxic", F.lit(True))
+    others = least_hashed(ids, ["doc_id"], unlabelled_rows, sizes["ids"]).withColumn("toxic", F.lit(False))
     sample = F.broadcast(confirmed.unionByName(others))  # at most toxic_rows + unlabelled_rows ids
 
     def extract(batches):
@@ -216,45 +219,46 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabe
         for batch in batches:
             out: list[list] = [[], []]
             flags = batch.column(1).to_pylist()
-            for first, rows, feature in _features(batch.column(0)):
-                last = int(rows[-1]) + 1 if len(rows) else 0
-                for r, part in enumerate(np.split(feature, np.searchsorted(rows, np.arange(1, last))) if last else []):
+            for first, many, rows, feature in _features(batch.column(0)):
+                for r, part in enumerate(np.split(feature, np.searchsorted(rows, np.arange(1, many)))):
                     out[0].append(flags[first + r])
                     out[1].append(part.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.bool_()), pa.array(out[1], pa.binary())], names=["toxic", "features"])
 
-    found = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic").mapInArrow(extract, "toxic boolean, features binary")
-    sides: tuple[list, list] = ([], [])
-    # Repeated ids may bring more rows than ids were drawn; the bounds hold for the rows as well.
-    for toxic, packed in found.toLocalIterator():
-        side, bound = (sides[0], toxic_rows) if toxic else (sides[1], unlabelled_rows)
-        if len(side) < bound:
-            side.append(np.frombuffer(packed, dtype=np.uint32))
+    # One text an id, so that the rows are no more than the ids drawn.
+    texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = texts.select("text", "toxic").mapInArrow(extract, "toxic boolean, features binary").collect()
+    found = sorted((r["toxic"], bytes(r["features"])) for r in found)
+    sides = [[np.frombuffer(packed, dtype=np.uint32) for toxic, packed in found if toxic == side] for side in (True, False)]
     return train(*sides, prior if prior is not None else 0.5)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1)."""
+    """``(doc_id, score)`` for every row, the score between 0 and 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         release_worker_memory()
         for batch in batches:
-            found = pa.array(shared.value.scores(batch.column(batch.schema.get_field_index("text"))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs(doc_id, text, ...)``."""
-    model = fit(docs, labels)
-    scored = score(docs.select("doc_id", "text"), model)
+    scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the model calls toxic."""
-    scored = score(docs.withColumnRenamed("score", "_own_score") if "score" in docs.columns else docs, fit(docs, labels))
-    return scored.filter("score < 0.5").drop("score").toDF(*docs.columns)
+    """``docs`` without the documents that the model calls toxic; columns of any name and type stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches):
+        release_worker_memory()
+        for batch in batches:
+            found = shared.value.scores(batch.column(batch.schema.get_field_index("text")))
+            yield batch.filter(pa.array(found < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

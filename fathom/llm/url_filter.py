@@ -8,11 +8,14 @@ integers, so reruns grow the same trees.
 Labels: by default a URL is a labelled bad one if its host holds a word of ``BAD_WORDS``, and a
 labelled good one if it does not and no block rule fits it; any other boolean column can be given.
 The model sees lexical features only: lengths, depth, digit ratio, entropy, parameter counts, host
-shape, and statistics of the host's suffixes among the labelled URLs.
+shape, and statistics of the host's suffixes among the labelled URLs; a labelled URL's own label takes no
+part in the statistics that it is learned with.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is
-judged by the trees; repeated rows are judged alike; with no labelled URLs of both kinds every URL
-without a rule is allowed.
+judged by the trees; repeated rows are judged alike and a repeated URL is learned once; of rules of one
+length that fit, the one listed last wins; with no labelled URLs of both kinds every URL without a rule is
+allowed; a url may be of any length; an empty table gives an empty result; columns besides ``page_id`` and
+``url`` are not looked at.
 """
 
 from __future__ import annotations
@@ -107,16 +110,22 @@ def _lexical(pages: DataFrame) -> DataFrame:
 class Model:
     """Suffix statistics (a few hundred rows) and trees: lists of ``(feature, threshold, left, right)`` or leaf values."""
 
-    suffixes: dict[str, list[tuple[str, float, float]]]
+    suffixes: dict[str, list[tuple[str, int, int]]]
+    rows: int
     rate: float
     start: float
     trees: list
 
-    def with_suffixes(self, rows: DataFrame) -> DataFrame:
+    def with_suffixes(self, rows: DataFrame, own: bool = False) -> DataFrame:
+        """``rows`` with the statistics of their suffixes; with ``own`` the rows are learned from, and each is left out of its own."""
         for s, known in self.suffixes.items():
-            names = [f"{s}_{k}" for k in _STATS]
-            small = rows.sparkSession.createDataFrame(known or [("", self.rate, 0.0)], f"{s} string, {names[0]} double, {names[1]} double")
-            rows = rows.join(F.broadcast(small), s, "left").fillna({names[0]: self.rate, names[1]: 0.0})
+            small = rows.sparkSession.createDataFrame(known or [("", 0, 0)], f"{s} string, _n long, _bad long")
+            rows = rows.join(F.broadcast(small), s, "left").fillna({"_n": 0, "_bad": 0})
+            n, bad = F.col("_n"), F.col("_bad")
+            if own:
+                n, bad = F.greatest(n - 1, F.lit(0)), F.greatest(bad - F.col("bad").cast("long"), F.lit(0))
+            rate = (bad + 20 * self.rate) / (n + 20)
+            rows = rows.withColumns({f"{s}_rate": rate, f"{s}_frequency": F.log1p(F.col("_n") * 1000 / max(self.rows, 1))}).drop("_n", "_bad")
         return rows
 
     def score(self) -> Column:
@@ -134,20 +143,24 @@ def _tree_value(node) -> Column:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Grow the trees on at most ``LABELLED_ROWS`` rows of ``labelled(url, host, path, _after, bad)``."""
-    rows = _lexical(labelled).orderBy(F.xxhash64("url"), "url").limit(LABELLED_ROWS)
-    rows = materialize(rows.select("bad", *_LEXICAL, *_SUFFIX), "url-labelled")
+    """Grow the trees on at most ``LABELLED_ROWS`` distinct rows of ``labelled(url, host, path, _after, bad)``."""
+    near = labelled.select("url", "host", "path", "_after", "bad")
+    total = near.count()
+    if total > 2 * LABELLED_ROWS:  # about twice the wanted rows; their features are computed for the chosen ones only
+        near = near.filter(F.xxhash64("url") <= F.lit(-(1 << 63) + (1 << 64) * 2 * LABELLED_ROWS // total))
+    chosen = near.distinct().orderBy(F.xxhash64("url"), "url", "bad").limit(LABELLED_ROWS)
+    rows = materialize(_lexical(chosen).select("bad", *_LEXICAL, *_SUFFIX), "url-labelled")
     count = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0)).alias("bad")).first()
     n, bad = count["n"], count["bad"]
     if not bad or bad == n:
-        return Model({s: [] for s in _SUFFIX}, 0.0, -1.0, [])
+        return Model({s: [] for s in _SUFFIX}, n, 0.0, -1.0, [])
     rate = bad / n
     suffixes = {}
     for s in _SUFFIX:
         top = rows.groupBy(s).agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("bad")).orderBy(F.desc("n"), s).limit(SUFFIXES).collect()
-        suffixes[s] = [(r[s], (r["bad"] + 20 * rate) / (r["n"] + 20), math.log1p(r["n"] * 1000 / n)) for r in top]
-    model = Model(suffixes, rate, 0.0, [])
-    rows = model.with_suffixes(rows).select("bad", *NAMES)
+        suffixes[s] = [(r[s], r["n"], r["bad"]) for r in top]
+    model = Model(suffixes, n, rate, 0.0, [])
+    rows = model.with_suffixes(rows, own=True).select("bad", *NAMES)
 
     cuts = rows.select(*(F.percentile_approx(name, [k / BINS for k in range(1, BINS)], 10_000).alias(name) for name in NAMES)).first()
     edges = {name: sorted(set(cuts[name])) for name in NAMES}
