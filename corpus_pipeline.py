@@ -1,17 +1,22 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which :func:`run` writes as Parquet
-and reads again for the next one.  All but the last return the columns of ``documents``.
+and reads again for the next one.  All but the last return the columns of ``documents``; columns besides
+``doc_id``, ``text``, ``source`` and ``n_chars`` travel along, whatever their names and types.
+
+Defined results, stage by stage: null and empty texts are not toxic, nobody's copies and without secrets; the
+mix leaves them out, as it takes no word of them.  A row without an id lends no label, is a copy like any other
+and is mixed and packed.  Rows that repeat an id are documents of their own; rows alike in id and text are one
+from the second stage on.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fathom.llm import mixing, packing, secret_scan, toxicity
 from fathom.llm.common import materialize, table
-from fathom.llm.jaccard_join import jaccard_groups
+from fathom.llm.jaccard_join import one_of_each_group
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,21 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each n-gram Jaccard group stays: the one whose id names the group."""
-    groups = jaccard_groups(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # Rows that repeat an id are one document: the first by its text stays.  The texts are dealt by id once.
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
-    named = first.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns))
-    # Nothing names a row without an id, so such rows stay.
-    return named.unionByName(docs.filter("doc_id is null"))
+    """One row of each n-gram Jaccard group stays; rows without words stay all."""
+    return one_of_each_group(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by their kind; ``n_chars`` follows."""
-    out = secret_scan.redact_secrets(docs)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return secret_scan.redact_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
