@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch where rows are whole texts or files.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -27,9 +27,9 @@ from fathom.llm.common import kept_in_worker
 _PLAIN_END = 0x180
 _PLAIN = re.compile(f"[\x00-\x1b\x20-\u012f\u0131-{chr(_PLAIN_END - 1)}]*")
 #: Distinct chunks remembered before those met only once are forgotten: fewer where case is dropped.
-CACHE_CHUNKS, CACHE_CHUNKS_LOWER = 1_100_000, 500_000
+CACHE_CHUNKS, CACHE_CHUNKS_LOWER = 1_100_000, 350_000
 #: Distinct pieces remembered before their cache starts afresh.
-CACHE_PIECES, CACHE_PIECES_LOWER = 700_000, 300_000
+CACHE_PIECES, CACHE_PIECES_LOWER = 700_000, 60_000
 #: Pieces handed to the library at once.
 _LOT = 4096
 #: Space before a word belongs to the word; other white space leaves its last character to what follows.

@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabe
 
     # One text an id, so that the rows are no more than the ids drawn.
     texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    found = texts.select("text", "toxic").mapInArrow(extract, "toxic boolean, features binary").collect()
+    found = texts.select("text", "toxic").mapInArrow(extract, "toxic boolean, features binary").toLocalIterator()
     found = sorted((r["toxic"], bytes(r["features"])) for r in found)
     sides = [[np.frombuffer(packed, dtype=np.uint32) for toxic, packed in found if toxic == side] for side in (True, False)]
     return train(*sides, prior if prior is not None else 0.5)
