@@ -545,7 +545,8 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     links = outer.unionByName(joined.select(F.col("sig").alias("u"), F.col("root").alias("v")))
     component = connected_components(links, "jaccard-components").select(F.col("node").alias("sig"), F.col("root").alias("component"))
     discard(sets)
-    return profile.join(component, "sig", "left").select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("component", "sig")).alias("component"))
+    named = profile.join(component, "sig", "left").select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("component", "sig")).alias("component"))
+    return materialize(named, "jaccard-named")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -555,7 +556,8 @@ def _marked(docs: DataFrame) -> DataFrame:
 def jaccard_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text, ...)``."""
     named = _components(_marked(docs), percent)
-    least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    # Written, so that it is joined by its size and a large group's rows may be split among tasks.
+    least = materialize(named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "jaccard-least")
     out = named.join(least, "component", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
