@@ -73,11 +73,13 @@ def kept_in_worker(clear: Callable[[], None]) -> None:
     _worker_caches.append(clear)
 
 
-def release_worker_memory() -> None:
-    """Called by operators that do not use the kept caches: one worker serves one operator after another, and
-    what an earlier one has kept must not stand beside what a later one needs."""
+def release_worker_memory(keep: Callable[[], None] | None = None) -> None:
+    """One worker serves one operator after another, and what an earlier one has kept must not stand beside what a
+    later one needs.  ``keep``: what clears the caller's own cache."""
     for clear in _worker_caches:
-        clear()
+        if clear is not keep:
+            clear()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

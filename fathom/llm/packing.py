@@ -148,11 +148,11 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _measured(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
+def _measured(docs: DataFrame, path: str, end_id: int, window: int, remembered: int | None) -> DataFrame:
     """Per document: tokens, checksums of its full windows and its remainder, and running counts."""
 
     def run(batches):
-        encode = encoder(path).encode
+        encode = encoder(path, remembered).encode
         part = TaskContext.get().partitionId()
         ranks = np.zeros(window, dtype=np.int64)
         full = 0
@@ -175,14 +175,14 @@ def _measured(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, rest long, rest_crc long, rank long, full_before long, part long")
 
 
-def _cut_checksums(docs: DataFrame, cut: DataFrame, path: str, end_id: int) -> DataFrame:
+def _cut_checksums(docs: DataFrame, cut: DataFrame, path: str, end_id: int, remembered: int | None) -> DataFrame:
     """Checksums of pieces of cut remainders; only the documents concerned are encoded again."""
     wanted = cut.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_set(F.struct("doc_tokens", "rest_crc", "start", "length")).alias("pieces"))
     # Written first: with its size known, a small table goes to the texts and no text is shuffled.
     wanted = materialize(wanted, "packing-cut")
 
     def run(batches):
-        encode = encoder(path).encode
+        encode = encoder(path, remembered).encode
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text, pieces in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -199,11 +199,14 @@ def _cut_checksums(docs: DataFrame, cut: DataFrame, path: str, end_id: int) -> D
     return found.mapInArrow(run, "doc_id long, doc_tokens long, rest_crc long, start long, length long, crc long").distinct()
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
+def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID, remembered: int | None = None) -> DataFrame:
+    """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+
+    ``remembered`` bounds the encoder's caches in each worker.
+    """
     spark = docs.sparkSession
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    measured = materialize(_measured(docs, path, end_id, WINDOW), "packing-documents")
+    measured = materialize(_measured(docs, path, end_id, WINDOW, remembered), "packing-documents")
 
     counts = measured.filter("rest > 0").groupBy("rest", "part").agg(F.count("*").alias("many"))
     earlier = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -235,7 +238,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = END_I
         closed = whole_rests
     else:
         key = ["doc_tokens", "rest_crc", "start", "length"]
-        sums = _cut_checksums(docs, cut, path, end_id).withColumnRenamed("doc_id", "sum_id")
+        sums = _cut_checksums(docs, cut, path, end_id, remembered).withColumnRenamed("doc_id", "sum_id")
         same = [F.col("doc_id").eqNullSafe(F.col("sum_id")), *(cut[c] == sums[c] for c in key)]
         on = same[0]
         for c in same[1:]:

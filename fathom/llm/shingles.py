@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from fathom.llm.common import kept_in_worker
+
 WIDTH = 5
 #: Bytes of text hashed at a time; bounds the numpy temporaries whatever the batch size.
 SLICE_BYTES = 1 << 20
@@ -29,6 +31,7 @@ _LOWER[0x41:0x5B] += 0x20
 _PLACE = [(0xD6E8FEB86659FD93 + 0xA0761D6478BD642E * k) % (1 << 64) | 1 for k in range(WIDTH)]
 
 _powers: dict[str, np.ndarray] = {}
+kept_in_worker(_powers.clear)
 
 
 def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-from fathom.llm.common import kept_in_worker
+from fathom.llm.common import kept_in_worker, release_worker_memory
 
 #: Code points below this, but for the ones listed, take the fast way: a capital whose lower case is two
 #: code points, and separators on which Python and the vocabularies disagree.
@@ -101,7 +101,7 @@ def _gathered(ids: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[n
 class Encoder:
     """``encode(texts)`` gives each text's ids (uint32); the vocabulary file is a parameter."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: What the added tokens' strings have in common, up to the first letter: a quick test before the exact one.
@@ -115,6 +115,10 @@ class Encoder:
         bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(_AS_IT_IS, "removed"), bytes_only])
         self.piece = _Store()
+        #: Distinct chunks and pieces remembered.
+        self.limits = (CACHE_CHUNKS_LOWER, CACHE_PIECES_LOWER) if self.drops_space else (CACHE_CHUNKS, CACHE_PIECES)
+        if remembered:
+            self.limits = tuple(min(remembered, x) for x in self.limits)
         self._forget()
 
     def _forget(self, keep: np.ndarray | None = None) -> None:
@@ -134,7 +138,7 @@ class Encoder:
 
     def _learn(self) -> None:
         """Put the new chunks together from their pieces, of which the unseen ones are encoded."""
-        if len(self.piece.number) > (CACHE_PIECES_LOWER if self.drops_space else CACHE_PIECES):
+        if len(self.piece.number) > self.limits[1]:
             self.piece = _Store()
         split, counts = [], []
         for chunk in self.number.new:
@@ -162,7 +166,7 @@ class Encoder:
         self.number.new.clear()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        limit = CACHE_CHUNKS_LOWER if self.drops_space else CACHE_CHUNKS
+        limit = self.limits[0]
         if len(self.number) > limit:
             often = np.flatnonzero(self.met[: len(self.number)] > 1)
             self._forget(often if len(often) <= limit // 2 else np.sort(often[np.argsort(-self.met[often], kind="stable")[: limit // 2]]))
@@ -195,13 +199,21 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file, with what it has learned in earlier tasks."""
-    return Encoder(path)
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, remembered: int | None) -> Encoder:
+    return Encoder(path, remembered)
 
 
-kept_in_worker(encoder.cache_clear)
+kept_in_worker(_encoder.cache_clear)
+
+
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    """The worker's encoder for a vocabulary file, with what it has learned in earlier tasks.
+
+    ``remembered`` bounds its caches where memory is short; fewer cost time and change no id.
+    """
+    release_worker_memory(keep=_encoder.cache_clear)
+    return _encoder(path, remembered)
 
 
 def batches_of_texts(texts: list[str], characters: int = 1_000_000):
