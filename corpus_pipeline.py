@@ -18,6 +18,9 @@ from fathom.llm import mixing, packing, secret_scan, toxicity
 from fathom.llm.common import materialize, table
 from fathom.llm.jaccard_join import one_of_each_group
 
+#: Distinct chunks and pieces that an encoder keeps in the packing stage.
+REMEMBERED = 60_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
@@ -40,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
-    return packing.pack_documents(docs)
+    """Pieces of token sequences; small caches, as earlier stages have used the executors' memory before."""
+    return packing.pack_documents(docs, remembered=REMEMBERED)
 
 
 STAGES = [
