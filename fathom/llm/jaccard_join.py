@@ -142,7 +142,8 @@ def _named(profile: DataFrame) -> tuple[DataFrame, _Namer]:
     the square of the classes over 2**65: none up to a thousand million, some hundreds for a hundred thousand million.
     """
     halves = profile.filter("n > 0").groupBy("sig").agg(F.min("check").alias("least"), F.max("check").alias("most")).filter("least <> most")
-    clash = profile.join(halves.select("sig", "least"), "sig").filter("check <> least").select("sig", "check").distinct().collect()
+    halves = materialize(halves.select("sig", "least"), "jaccard-clashes")
+    clash = [] if halves.isEmpty() else profile.join(halves, "sig").filter("check <> least").select("sig", "check").distinct().collect()
     renamed = {}
     for sig, check in clash:
         renamed[sig, check] = int(mix(np.array([check], dtype=np.int64).view(np.uint64) + np.uint64(1))[0].view(np.int64))
