@@ -57,6 +57,17 @@ def ranked_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def places(values: DataFrame) -> DataFrame:
+    """``s, below, same, n`` for every distinct value of ``values(s)``: how many rows lie below it, share it, are there.
+
+    Values are numbers that a double holds exactly; no window holds more than a range of them.
+    """
+    sums = values.groupBy(F.col("s").cast("double").alias("s")).agg(F.count("*").cast("double").alias("pos"), F.lit(0.0).alias("neg"))
+    n = values.agg(F.count("*").alias("n"))
+    ranked = ranked_sums(sums, []).crossJoin(F.broadcast(n))  # one row
+    return ranked.select("s", (F.col("n") - F.col("pos_from")).alias("below"), F.col("pos").alias("same"), "n")
+
+
 def ranking_metrics(rows: DataFrame, keys: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """``keys, positives, negatives, auroc, ap`` of ``rows(keys, y, s)``; null where one class is missing.
 

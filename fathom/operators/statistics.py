@@ -89,25 +89,32 @@ def layer_error(q: np.ndarray, difference: np.ndarray) -> float:
 def compare_neighbourhoods(reference: DataFrame, changed: DataFrame) -> DataFrame:
     """``relative_error, agreement, regret`` of the cosine Gram of ``changed`` against ``reference``.
 
-    Both have ``vec_id, v``.  Error: Frobenius over all pairs; agreement: share of rows whose nearest other
+    Both have ``vec_id, v``.  Error: Frobenius over all pairs, which the products of columns give without any
+    pair of rows (``|A Aᵀ - B Bᵀ|² = |AᵀA|² - 2 |AᵀB|² + |BᵀB|²``); agreement: share of rows whose nearest other
     row is the same; regret: mean reference cosine lost by taking the changed nearest row.
     """
     from fathom.functions.vectors import dot, l2_normalized
-
-    a = reference.select("vec_id", l2_normalized("v").alias("a")).join(changed.select("vec_id", l2_normalized("v").alias("b")), "vec_id")
-    left, right = a.select(F.col("vec_id").alias("q"), "a", "b"), a.select(F.col("vec_id").alias("r"), F.col("a").alias("ra"), F.col("b").alias("rb"))
-    pairs = left.join(right, F.col("q") != F.col("r")).select("q", "r", dot("a", "ra").alias("t"), dot("b", "rb").alias("s"))
-    # Ties go to the smaller row.
-    per = pairs.groupBy("q").agg(
-        F.sum((F.col("s") - F.col("t")) * (F.col("s") - F.col("t"))).alias("off"),
-        F.sum(F.col("t") * F.col("t")).alias("on"),
-        F.max(F.struct(F.round("t", 12).alias("t"), (-F.col("r")).alias("r"))).alias("best_t"),
-        F.max(F.struct(F.round("s", 12).alias("s"), (-F.col("r")).alias("r"), "t")).alias("best_s"),
-    )
+    from fathom.operators.neighbours import nearest
+
+    a, b = reference.select("vec_id", l2_normalized("v").alias("a")), changed.select("vec_id", l2_normalized("v").alias("b"))
+    both = a.join(b, "vec_id")
+    width = a.select(F.max(F.size("a"))).first()[0] or 0
+    g = gram(both.select(F.concat("a", "b").alias("v")), divide=False)
+    on = float((g[:width, :width] ** 2).sum())
+    off = on - 2 * float((g[:width, width:] ** 2).sum()) + float((g[width:, width:] ** 2).sum())
+
+    def first(rows, name):
+        alone = rows.select("vec_id", F.col("vec_id").alias("image_id"), F.col(name).alias("v"))  # no row is its own neighbour
+        return nearest(alone, alone, 1, other_group=True)
+
+    best = first(a, "a").select(F.col("query_id").alias("vec_id"), F.col("ref_id").alias("r"), F.col("cosine").alias("t"))
+    taken = first(b, "b").select(F.col("query_id").alias("vec_id"), F.col("ref_id").alias("taken"))
+    there = a.select(F.col("vec_id").alias("taken"), F.col("a").alias("ra"))
+    per = best.join(taken, "vec_id").join(a, "vec_id").join(there, "taken")
     return per.agg(
-        F.sqrt(F.sum("off") / (F.sum("on") + F.count("*"))).alias("relative_error"),
-        F.avg((F.col("best_t.r") == F.col("best_s.r")).cast("double")).alias("agreement"),
-        F.avg(F.col("best_t.t") - F.col("best_s.t")).alias("regret"),
+        F.lit(float(np.sqrt(max(off, 0.0) / on))).alias("relative_error"),
+        F.avg((F.col("r") == F.col("taken")).cast("double")).alias("agreement"),
+        F.avg(F.col("t") - dot("a", "ra")).alias("regret"),
     )
 
 
@@ -152,7 +159,10 @@ def laplacian_scores(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 def split_repeatability(rows: DataFrame) -> DataFrame:
     """``j, ratio``: smaller over larger variance of a column in the even and the odd images by order."""
-    order = rows.select("image_id").distinct().withColumn("half", (F.dense_rank().over(Window.orderBy("image_id")) % 2).cast("int"))
+    from fathom.operators.metrics import places
+
+    found = places(rows.select(F.col("image_id").alias("s")).distinct())
+    order = found.select(F.col("s").cast("long").alias("image_id"), ((F.col("below") + 1) % 2).cast("int").alias("half"))
     x = rows.join(order, "image_id").select("half", F.posexplode("v").alias("j", "x"))
     var = x.groupBy("j").agg(F.var_pop(F.when(F.col("half") == 0, F.col("x"))).alias("a"), F.var_pop(F.when(F.col("half") == 1, F.col("x"))).alias("b"))
     return var.select("j", (F.least("a", "b") / F.greatest(F.greatest("a", "b"), F.lit(1e-12))).alias("ratio"))
@@ -199,10 +209,27 @@ def covering_support(x: np.ndarray, ranking: np.ndarray, count: int) -> np.ndarr
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """``rho``: correlation of average ranks."""
+    """``rho``: correlation of average ranks, from counted pairs of values."""
+    from fathom.operators.metrics import places
+
+    def rank(c, name):
+        return places(rows.select(F.col(c).alias("s"))).select(F.col("s").alias(c), (F.col("below") + (F.col("same") + 1) / 2).alias(name))
 
-    def rank(c):
-        w = Window.orderBy(c)
-        return F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
+    pairs = rows.groupBy(F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)).agg(F.count("*").cast("double").alias("w"))
+    ranked = pairs.join(rank(a, "ra"), a).join(rank(b, "rb"), b)
+    mean = ranked.agg((F.sum(F.col("w") * F.col("ra")) / F.sum("w")).alias("ma"), (F.sum(F.col("w") * F.col("rb")) / F.sum("w")).alias("mb"))
+    x, y, w = F.col("ra") - F.col("ma"), F.col("rb") - F.col("mb"), F.col("w")
+    return ranked.crossJoin(F.broadcast(mean)).agg((F.sum(w * x * y) / F.sqrt(F.sum(w * x * x) * F.sum(w * y * y))).alias("rho"))
 
-    return rows.select(rank(a).alias("ra"), rank(b).alias("rb")).agg(F.corr("ra", "rb").alias("rho"))
+
+def edge_leverage(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``j, leverage, place``: weighted mean squared change to the near and the far neighbour, largest first.
+
+    ``edges`` has ``query_id, near_id, far_id, weight``; ``rows`` has ``vec_id, v``.
+    """
+    x = rows.select("vec_id", "v")
+    wide = edges.join(x.toDF("query_id", "q"), "query_id").join(x.toDF("near_id", "a"), "near_id").join(x.toDF("far_id", "b"), "far_id")
+    each = wide.select("weight", F.posexplode(F.arrays_zip("q", "a", "b")).alias("j", "p"))
+    moved = ((F.col("p.q") - F.col("p.a")) * (F.col("p.q") - F.col("p.a")) + (F.col("p.q") - F.col("p.b")) * (F.col("p.q") - F.col("p.b"))) / 2
+    by = each.groupBy("j").agg(F.avg(F.col("weight") * moved).alias("leverage"))  # one row a column
+    return by.withColumn("place", F.row_number().over(Window.orderBy(F.desc("leverage"), "j")))

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.vectors import dot, l2_normalized, layer, norm, take
-from fathom.operators import metrics, neighbours, reports, selection, statistics
+from fathom.functions.vectors import dot, l2_normalized, layer, take
+from fathom.operators import losses, metrics, neighbours, reports, selection, statistics
 from fathom.operators.views import COORD, LAYER, LAYER_WIDTH, LAYERS, PATCH, PERTURBED, coordinates, layer_vectors, normal, patches, perturbed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,13 +388,6 @@ def weighted_support_projection(spark, sf_dir):
 
 # --- objective values as pair tables
 
-_P = "[0.4, 0.3, 0.2, 0.1]"
-
-
-def _support(v: str) -> Column:
-    return take(v, [0, 16, 32, 48], [0.4**0.5, 0.3**0.5, 0.2**0.5, 0.1**0.5])
-
-
 _MATCH = f"""WITH {PATCH}, st AS (SELECT *, [v[1] * sqrt(0.4), v[17] * sqrt(0.3), v[33] * sqrt(0.2), v[49] * sqrt(0.1)] AS s FROM patch),
 p AS (SELECT q.vec_id AS query_id, m.vec_id AS ref_id, list_dot_product(q.v, m.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(m.v, m.v))) AS t,
     list_dot_product(q.s, m.s) / (sqrt(list_dot_product(q.s, q.s)) * sqrt(list_dot_product(m.s, m.s))) AS c FROM st q JOIN st m ON q.image_id <> m.image_id WHERE q.role = 'holdout' AND q.y = 0 AND m.role = 'fit' AND m.y = 0),
@@ -404,40 +397,31 @@ k AS (SELECT query_id, max(n) AS n, max(bt) AS bt, max(bc) AS bc, sum(exp(zt - l
 d AS (SELECT *, 1 - bt AS dist FROM k), e AS (SELECT *, least(4.0, 1 + dist / greatest(avg(dist) OVER (), 1e-4)) AS raw FROM d), f AS (SELECT *, raw / avg(raw) OVER () AS w FROM e)"""
 
 
-def _pair_table(spark, sf_dir):
-    rows = patches(spark, sf_dir).withColumn("s", _support("v"))
-    q = normal(rows, "holdout").select(F.col("vec_id").alias("query_id"), F.col("image_id").alias("qi"), F.col("v").alias("qv"), F.col("s").alias("qs"), norm("v").alias("qn"), norm("s").alias("qsn"))
-    m = normal(rows, "fit").select(F.col("vec_id").alias("ref_id"), F.col("image_id").alias("mi"), F.col("v").alias("mv"), F.col("s").alias("ms"), norm("v").alias("mn"), norm("s").alias("msn"))
-    return q.join(F.broadcast(m), F.col("qi") != F.col("mi")).select(  # an audited sample: reference rows are bounded by the memory's capacity
-        "query_id", "ref_id", (dot("qv", "mv") / (F.col("qn") * F.col("mn"))).alias("t"), (dot("qs", "ms") / (F.col("qsn") * F.col("msn"))).alias("c")
-    )
+_SUPPORT, _WEIGHTS = (0, 16, 32, 48), (0.4, 0.3, 0.2, 0.1)
 
 
-def _query_terms(pairs: DataFrame, tau: float) -> DataFrame:
-    top = pairs.groupBy("query_id").agg(F.max("t").alias("bt"), F.max("c").alias("bc"), F.count("*").alias("n"))
-    z = pairs.join(top, "query_id").withColumns({"zt": F.col("t") / tau, "zc": F.col("c") / tau})
-    sums = z.groupBy("query_id").agg(F.sum(F.exp((F.col("t") - F.col("bt")) / tau)).alias("st"), F.sum(F.exp((F.col("c") - F.col("bc")) / tau)).alias("sc"))
-    z = z.join(sums, "query_id").withColumns({"lt": F.col("zt") - F.col("bt") / tau - F.log("st"), "lc": F.col("zc") - F.col("bc") / tau - F.log("sc")})
-    return z.groupBy("query_id").agg(F.max("n").alias("n"), F.max("bt").alias("bt"), F.max("bc").alias("bc"), F.sum(F.exp("lt") * F.col("lt")).alias("ent"), F.sum(F.exp("lt") * F.col("lc")).alias("crs"))
+def _matching(spark, sf_dir):
+    rows = patches(spark, sf_dir)
+    return losses.matching_terms(normal(rows, "holdout"), normal(rows, "fit"), _SUPPORT, _WEIGHTS, 0.1)
 
 
 @register(
     f"""{_MATCH} SELECT round(avg(w * (ent - crs)) / greatest(avg(w * (ln(n) + ent)), 1e-6), 6) AS divergence, round(avg(w * (bc - bt) * (bc - bt)) / greatest(avg(w * dist * dist), 1e-4), 6) AS score FROM f"""
 )
 def matching_loss_value(spark, sf_dir):
-    k = _query_terms(_pair_table(spark, sf_dir), 0.1)
-    f = k.join(statistics.query_weights(k.select("query_id", (1 - F.col("bt")).alias("distance"))), "query_id")
-    w, dist = F.col("weight"), 1 - F.col("bt")
-    off = F.col("bc") - F.col("bt")
+    k = _matching(spark, sf_dir)
+    f = k.join(statistics.query_weights(k.select("query_id", (1 - F.col("best_teacher")).alias("distance"))), "query_id")
+    w, dist = F.col("weight"), 1 - F.col("best_teacher")
+    off = F.col("best_student") - F.col("best_teacher")
     return f.agg(
-        r(F.avg(w * (F.col("ent") - F.col("crs"))) / F.greatest(F.avg(w * (F.log("n") + F.col("ent"))), F.lit(1e-6))).alias("divergence"),
+        r(F.avg(w * (F.col("entropy") - F.col("cross"))) / F.greatest(F.avg(w * (F.log("n") + F.col("entropy"))), F.lit(1e-6))).alias("divergence"),
         r(F.avg(w * off * off) / F.greatest(F.avg(w * dist * dist), F.lit(1e-4))).alias("score"),
     )
 
 
 @register(f"{_MATCH} SELECT query_id, round(ent - crs, 6) AS divergence, round(bt - bc, 6) AS regret FROM f")
 def candidate_query_losses(spark, sf_dir):
-    return _query_terms(_pair_table(spark, sf_dir), 0.1).select("query_id", r(F.col("ent") - F.col("crs")).alias("divergence"), r(F.col("bt") - F.col("bc")).alias("regret"))
+    return _matching(spark, sf_dir).select("query_id", r(F.col("entropy") - F.col("cross")).alias("divergence"), r(F.col("best_teacher") - F.col("best_student")).alias("regret"))
 
 
 @register(
@@ -446,42 +430,52 @@ def candidate_query_losses(spark, sf_dir):
 SELECT round(avg(la - lg), 6) AS loss FROM x"""
 )
 def relation_loss_value(spark, sf_dir):
-    pairs = _pair_table(spark, sf_dir)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("t"), "ref_id"))
-    graph = pairs.withColumn("place", place)
-    top = pairs.groupBy("query_id").agg(F.max("c").alias("bc"))
-    e = F.exp((F.col("c") - F.col("bc")) / 0.1)
-    weight = F.when(F.col("place") <= 4, 1.0).when(F.col("place") <= 8, 0.5).otherwise(0.0)
-    return graph.join(top, "query_id").groupBy("query_id").agg((F.log(F.sum(e)) - F.log(F.sum(e * weight))).alias("loss")).agg(r(F.avg("loss")).alias("loss"))
+    rows = patches(spark, sf_dir)
+    terms = losses.relation_terms(normal(rows, "holdout"), normal(rows, "fit"), _SUPPORT, _WEIGHTS, 0.1, 4, 8)
+    return terms.agg(r(F.avg("loss")).alias("loss"))
+
+
+@register(
+    f"WITH {PATCH}, {_PAIRS}, b AS (SELECT query_id, max(c) AS best FROM pairs GROUP BY query_id) SELECT query_id, round(max(best), 6) AS best, count(*) AS near_ties FROM pairs JOIN b USING (query_id) WHERE best - c <= 64 * 2.220446049250313e-16 * (1 + abs(best)) GROUP BY query_id"
+)
+def near_tie_counts(spark, sf_dir):
+    rows = patches(spark, sf_dir)
+    return losses.near_ties(normal(rows, "holdout"), normal(rows, "fit")).select("query_id", r("best").alias("best"), "near_ties")
+
+
+@register(
+    f"""{_EDGES}, moved AS (SELECT a.j, avg(w * ((a.x - n.x) * (a.x - n.x) + (a.x - f.x) * (a.x - f.x)) / 2) AS leverage FROM ww JOIN coord a ON a.vec_id = query_id JOIN coord n ON n.vec_id = near AND n.j = a.j JOIN coord f ON f.vec_id = far AND f.j = a.j GROUP BY a.j)
+SELECT j::INT AS j, round(leverage, 9) AS leverage FROM moved""".replace(LAYER + ",", LAYER + ", " + COORD + ",", 1)
+)
+def leverage_ranking(spark, sf_dir):
+    rows = patches(spark, sf_dir)
+    edges = _weighted_edges(rows)
+    return statistics.edge_leverage(rows, edges).select("j", r("leverage", 9).alias("leverage"))
+
+
+def _weighted_edges(rows: DataFrame) -> DataFrame:
+    edges = neighbours.near_far(normal(rows, "holdout"), normal(rows, "fit"), 8)
+    return edges.join(statistics.query_weights(edges.select("query_id", (1 - F.col("near_cosine")).alias("distance"))), "query_id")
 
 
 @register(f"{_EDGES} SELECT round(sum(w * ((cn - tn) * (cn - tn) + (cf - tf) * (cf - tf))) / (2 * count(*)) / max(scale), 6) AS representation, round(avg(w * greatest(0, tn - tf - cn + cf) * greatest(0, tn - tf - cn + cf)) / max(scale), 6) AS rank FROM wide JOIN ww USING (query_id), scale WHERE subset = 5")
 def local_loss_value(spark, sf_dir):
-    """The two terms of the local loss for layers 0 and 2, on the driver's arrays."""
+    """The two terms of the local loss for layers 0 and 2: the teacher sees raw columns, the student unit layers."""
     import numpy as np
 
-    from fathom.operators.losses import LocalObjective
-
     rows = patches(spark, sf_dir)
-    edges = neighbours.near_far(normal(rows, "holdout"), normal(rows, "fit"), 8).select("query_id", "near_id", "far_id")
-    v = rows.select("vec_id", "v")
-    got = edges.join(v.toDF("query_id", "q"), "query_id").join(v.toDF("near_id", "n"), "near_id").join(v.toDF("far_id", "f"), "far_id").orderBy("query_id").toPandas()  # the audited holdout
-    q, n, f = (np.array(got[c].tolist()) for c in "qnf")
-    # The teacher sees raw columns, the student unit layers.
-    teacher = LocalObjective(q, n, f, beta=0.0)
+    edges = _weighted_edges(rows)
+    sq = lambda c: (1 - F.col(c)) * (1 - F.col(c))
+    scale = edges.agg(F.greatest((F.sum(sq("near_cosine")) + F.sum(sq("far_cosine"))) / (2 * F.count("*")), F.lit(1e-4))).first()[0]
+    layers, width = LAYERS, LAYER_WIDTH
 
     def unit(x):
-        parts = x.reshape(len(x), LAYERS, LAYER_WIDTH)
+        parts = x.reshape(len(x), layers, width)
         return (parts / np.maximum(np.linalg.norm(parts, axis=2), 1e-12)[:, :, None]).reshape(len(x), -1)
 
-    student = LocalObjective(unit(q), unit(n), unit(f), beta=0.0)
-    student.t_near, student.t_far, student.weights, student.scale = teacher.t_near, teacher.t_far, teacher.weights, teacher.scale
     active = np.concatenate([np.arange(16), np.arange(32, 48)])
-    p = np.full(32, 1 / 32)
-    whole = student(active, p)[0]
-    student.rank_weight = 0.0
-    rep = student(active, p)[0]
-    return spark.createDataFrame([(rep, whole - rep)], "representation double, rank double").select(r("representation").alias("representation"), r("rank").alias("rank"))
+    terms = losses.local_terms(edges, rows, active, np.full(32, 1 / 32), scale, unit)
+    return terms.select(r("representation").alias("representation"), r("rank").alias("rank"))
 
 
 @register(
@@ -490,13 +484,8 @@ p AS (SELECT list_dot_product(q.v, m.v) / (sqrt(list_dot_product(q.v, q.v)) * sq
 SELECT round(0.5 * sum((c - t) * (c - t)) / sum(t * t), 6) AS loss FROM p"""
 )
 def cosine_gram_loss_value(spark, sf_dir):
-    import numpy as np
-
-    from fathom.operators.losses import CosineGramObjective
-
-    x = np.array(normal(patches(spark, sf_dir), "holdout").orderBy("vec_id").toPandas()["v"].tolist())  # the audited holdout
-    value, _ = CosineGramObjective(x, np.zeros((64, 0)), beta=0.0)(np.array([0, 16, 32, 48]), np.array([0.4, 0.3, 0.2, 0.1]))
-    return spark.createDataFrame([(float(value),)], "loss double").select(r("loss").alias("loss"))
+    value = losses.gram_loss(normal(patches(spark, sf_dir), "holdout"), _SUPPORT, _WEIGHTS)
+    return spark.createDataFrame([(value,)], "loss double").select(r("loss").alias("loss"))
 
 
 _GRAM_H = f"WITH {PATCH}, {COORD}, g AS (SELECT a.j AS i, b.j AS j, avg(a.x * b.x) AS g FROM coord a JOIN coord b ON a.vec_id = b.vec_id WHERE a.role = 'fit' AND a.y = 0 GROUP BY a.j, b.j), h AS (SELECT i, j, g * g / (SELECT sum(g * g) FROM g) AS h FROM g)"

@@ -305,7 +305,7 @@ def reservoir_memory(spark, sf_dir):
     rows = normal(patches(spark, sf_dir), "fit")
     kept = sampling.reservoir_positions(rows.count(), 64, 42)
     slots = spark.createDataFrame([(s, int(p)) for s, p in enumerate(kept)], "slot int, position long")
-    placed = rows.select("vec_id", (F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long").alias("position"))
+    placed = metrics.places(rows.select(F.col("vec_id").alias("s"))).select(F.col("s").cast("long").alias("vec_id"), F.col("below").cast("long").alias("position"))
     return placed.join(F.broadcast(slots), "position").select("slot", "vec_id")
 
 
