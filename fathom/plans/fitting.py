@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import metrics, neighbours, sampling, statistics
-from fathom.operators.losses import CosineGramObjective, MatchingObjective, Nuisance, QuadraticObjective
+from fathom.operators.losses import CosineGramObjective, LocalObjective, MatchingObjective, Nuisance, QuadraticObjective
 from fathom.operators.provenance import frozen
 from fathom.operators.solvers import Outcome, choose_layers, exchange, fista, gate_layers, guarded, pivot_columns, polish, projected_gradient, prune_columns, pursue, refit_columns, ridge_whitened
 from fathom.operators.transforms import Method, represent
@@ -90,6 +90,67 @@ def fit_support(rows: DataFrame, count: int = 256, beta: float = 0.002, steps: i
     return Fit(pool[best]["active"], pool[best]["weights"], pool, digest, best)
 
 
+def fit_local_support(rows: DataFrame, count: int = 256, beta: float = 0.002, rank: int = 8, rank_weight: float = 1.0, rounds: int = 2, entering: int = 4, perturb=None) -> Fit:
+    """Choose columns by the edges to the nearest and the ``rank``-th neighbour in other images.
+
+    Supports start from the columns that move most along the edges, from the most energy, and from movement over
+    nuisance; each is refitted and exchanged, and the holdout's edges pick among the frozen pool.
+    """
+    from fathom.operators.views import KINDS, perturbed
+
+    fit_rows, held_rows = (rows.filter((F.col("role") == r) & (F.col("y") == 0)) for r in ("fit", "holdout"))
+    if count < 1 or beta < 0 or rank_weight < 0:
+        raise ValueError("the budget must be positive and the coefficients not negative")
+    if fit_rows.select("image_id").join(held_rows.select("image_id"), "image_id", "left_semi").limit(1).count():
+        raise ValueError("fit and holdout share an image")
+    ids, _, x = local_rows(fit_rows)
+    held_ids, _, held = local_rows(held_rows)
+    count = min(count, x.shape[1])
+    place = {i: k for k, i in enumerate(ids.tolist())}
+    known = rows.sparkSession.createDataFrame([(i,) for i in ids.tolist()], rows.select("vec_id").schema)
+    references = fit_rows.join(F.broadcast(known), "vec_id", "left_semi")  # at most FIT_ROWS ids
+
+    def edges(queries: DataFrame, names: np.ndarray, own: np.ndarray, nuisance: Nuisance | None, weight: float) -> LocalObjective:
+        asked = rows.sparkSession.createDataFrame([(i,) for i in names.tolist()], rows.select("vec_id").schema)
+        found = neighbours.near_far(queries.join(F.broadcast(asked), "vec_id", "left_semi"), references, rank).select("query_id", "near_id", "far_id", "found").toPandas()
+        if len(found) < len(names) or (found["found"] < 2).any():
+            raise ValueError("a query has fewer than two references in other images")
+        found = found.set_index("query_id").loc[names]
+        near, far = (x[[place[i] for i in found[c].tolist()]] for c in ("near_id", "far_id"))
+        return LocalObjective(own, near, far, nuisance, rank_weight, weight)
+
+    changed = (perturb or perturbed)(references).select("vec_id", "kind", "w").orderBy("vec_id").toPandas() if beta else None
+    nuisance = Nuisance(x, [np.array(changed[changed["kind"] == k]["w"].tolist()) for k in KINDS]) if beta else None
+    objective, judge = edges(fit_rows, ids, x, nuisance, beta), edges(held_rows, held_ids, held, None, 0.0)
+    energy = (x * x).mean(0)
+    moved = (((x - objective.near) ** 2 + (x - objective.far) ** 2) * objective.weights[:, None]).mean(0) / 2
+    unstable = np.mean([((z - x) ** 2).mean(0) for z in nuisance.changed], axis=0) / (energy + statistics.EPSILON) if beta else np.zeros(len(energy))
+    scaled = lambda v: v / max(float(v.mean()), 1e-8)
+    every = np.arange(x.shape[1])
+
+    def full_gradient(active: np.ndarray, p: np.ndarray) -> np.ndarray:
+        whole = np.zeros(len(every))
+        whole[active] = p
+        return objective(every, whole)[1]
+
+    pool: list[dict] = []
+
+    def record(source: str, found: Outcome) -> Outcome:
+        own = beta * nuisance(found.active, found.weights)[0] if beta else 0.0
+        pool.append({"id": len(pool), "source": source, "active": found.active, "weights": found.weights, "loss": found.value, "nuisance": own})
+        return found
+
+    for ranking in (scaled(moved) - beta * scaled(unstable), energy, moved / (1 + unstable)):
+        active, uniform = np.sort(np.argsort(-ranking, kind="stable")[:count]), np.full(count, 1 / count)
+        record("uniform", Outcome(active, uniform, objective(active, uniform)[0]))
+        found = record("refit", projected_gradient(objective, active, uniform))
+        if rounds and count < len(every):
+            record("exchange", exchange(objective, full_gradient, found, rounds=rounds, entering=entering))
+    digest = frozen(pool)
+    best = min((judge(c["active"], c["weights"])[0] + c["nuisance"], c["id"]) for c in pool)[1]
+    return Fit(pool[best]["active"], pool[best]["weights"], pool, digest, best)
+
+
 def fit_gram_support(rows: DataFrame, count: int, lambdas: np.ndarray, tolerance: float) -> tuple[np.ndarray, float]:
     """Quadratic objective: a path over ``lambdas``, each point cut to ``count`` columns and refitted."""
     h = statistics.squared_gram(statistics.gram(rows))
