@@ -618,4 +618,4 @@ def rank_correlation(spark, sf_dir):
 @register(f"WITH {PATCH}, {DIST}, w AS (SELECT vec_id AS query_id, least(4.0, 1 + distance / greatest(avg(distance) OVER (), 1e-4)) AS raw FROM dist) SELECT query_id, round(raw / avg(raw) OVER (), 6) AS weight FROM w")
 def teacher_row_weights(spark, sf_dir):
     return statistics.query_weights(_distances(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "distance")).select("query_id", r("weight").alias("weight"))
-from fathom.plans import report_queries  # noqa: E402, F401  registers more queries
+from fathom.plans import audit_queries, report_queries  # noqa: E402, F401  register more queries

@@ -377,7 +377,16 @@ def simplex_projection(spark, sf_dir):
     return k.filter(F.col("x") - theta > 0).groupBy("vec_id").agg(r(F.max_by(theta, "i")).alias("shift"))
 
 
-@register()
+_LOW, _HIGH = "(1e-4 / 64)", "(4.0 / 64)"
+
+
+@register(
+    f"""WITH {PATCH}, b AS (SELECT vec_id, v, unnest(list_concat(list_transform(v, lambda x: x - {_HIGH}), list_transform(v, lambda x: x - {_LOW}))) AS t FROM patch),
+f AS (SELECT vec_id, v, t, list_sum(list_transform(v, lambda x: least({_HIGH}, greatest({_LOW}, x - t)))) AS s FROM b),
+a AS (SELECT vec_id, max(t) AS t0, min(s) AS s0, any_value(v) AS v FROM f WHERE s >= 1 GROUP BY vec_id), z AS (SELECT vec_id, min(t) AS t1, max(s) AS s1 FROM f WHERE s < 1 GROUP BY vec_id),
+c AS (SELECT vec_id, v, t0 + (s0 - 1) / (s0 - s1) * (t1 - t0) AS t FROM a JOIN z USING (vec_id))
+SELECT vec_id, round(least({_HIGH}, greatest({_LOW}, list_min(v) - t)), 8) AS least, round(least({_HIGH}, greatest({_LOW}, list_max(v) - t)), 8) AS most, 1.0::DOUBLE AS total FROM c"""
+)
 def bounded_simplex_projection(spark, sf_dir):
     """Projections of every vector onto the bounded simplex: their extremes and sums."""
     import numpy as np
@@ -388,7 +397,7 @@ def bounded_simplex_projection(spark, sf_dir):
     def run(frames):
         for frame in frames:
             p = [onto_bounded_simplex(np.array(v)) for v in frame["v"]]
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "least": [x.min() for x in p], "most": [x.max() for x in p], "total": [round(x.sum(), 12) for x in p]})
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "least": [round(x.min(), 8) for x in p], "most": [round(x.max(), 8) for x in p], "total": [round(x.sum(), 12) for x in p]})
 
     return patches(spark, sf_dir).select("vec_id", "v").mapInPandas(run, "vec_id long, least double, most double, total double")
 
