@@ -97,3 +97,65 @@ def test_edge_leverage_equals_its_definition(spark):
     edges = spark.createDataFrame([(0, 1, 2, 2.0), (1, 0, 2, 1.0)], "query_id long, near_id long, far_id long, weight double")
     got = [tuple(r) for r in statistics.edge_leverage(rows, edges).orderBy("place").collect()]
     assert got == [(1, pytest.approx((2 * 9 / 2 + 9 / 2) / 2), 1), (0, pytest.approx((2 * 1 / 2 + 2 / 2) / 2), 2)]
+
+
+def brute_tail(rows, features, found, top, tail):
+    """The table of :func:`fitting.choose_normal_tail` in plain numpy."""
+    (x, groups, fit), (held, held_groups, _) = sides(rows, features)
+    tau = neighbours.temperature(fit).first()["temperature"]
+    objective = losses.MatchingObjective(held, x, held_groups, groups, tau, None, 0.0)
+    every = np.ones(x.shape[1])
+
+    def image_scores(distance, own):
+        take = lambda d: np.sort(d)[::-1][: max(1, int(np.ceil(len(d) * top)))].mean()
+        return np.array([take(distance[own == g]) for g in np.unique(own)])
+
+    c = np.where(groups[:, None] != groups, losses.weighted_cosine(x, x, every), -np.inf)
+    scale = max(float((image_scores(1 - c.max(1), groups) ** 2).mean()), 1e-4)
+    dense = image_scores(1 - losses.weighted_cosine(held, x, every).max(1), held_groups)
+    out = []
+    for cand in found.pool:
+        s = image_scores(1 - losses.weighted_cosine(held[:, cand["active"]], x[:, cand["active"]], cand["weights"]).max(1), held_groups)
+        error = np.sort((s - dense) ** 2 / scale)[::-1]
+        mass = tail * len(error)
+        weight = np.clip(mass - np.arange(len(error)), 0, 1)
+        out.append((cand["id"], objective(cand["active"], cand["weights"])[0] + found.beta * cand["nuisance"], error.mean(), (weight * error).sum() / mass))
+    return out
+
+
+def test_the_tail_choice_equals_plain_numpy(rows, features):
+    found = fitting.fit_support(rows, count=4, steps=20, rounds=0, contrasts=True)
+    winner, table = fitting.choose_normal_tail(rows, found, 0.5, 0.25, 1.0)
+    got, want = [tuple(r) for r in table.orderBy("id").collect()], brute_tail(rows, features, found, 0.5, 0.25)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    np.testing.assert_allclose([g[1:] for g in got], [w[1:] for w in want], rtol=1e-7, atol=1e-10)
+    base = want[found.chosen]
+    assert winner == found.chosen or (want[winner][3] < base[3] and want[winner][2] <= base[2])
+    found.pool[0]["loss"] += 1
+    with pytest.raises(ValueError, match="frozen"):
+        fitting.choose_normal_tail(rows, found)
+
+
+def test_contrast_starts_are_supports(features):
+    groups = np.arange(120) // 3
+    found = fitting.contrast_starts(features, groups, np.zeros(12), 4)
+    assert 1 <= len(found) <= 2 and all(len(set(a.tolist())) == 4 for a in found)  # without nuisance the last two are one
+    with pytest.raises(ValueError):
+        fitting.contrast_starts(features, np.zeros(120), np.zeros(12), 4)
+
+
+def test_relation_fit_beats_its_starts_and_is_frozen(rows):
+    found = fitting.fit_relation_support(rows, count=4, beta=0.0, k=4, subsets=4, votes=2, rounds=1)
+    assert len(found.active) == 4 and found.weights.sum() == pytest.approx(1)
+    assert found.digest == fitting.frozen(found.pool)
+    assert [c["loss"] for c in found.pool] == sorted(c["loss"] for c in found.pool)
+
+
+def test_cosine_path_falls_in_size_and_takes_the_fewest_columns(rows):
+    fit = rows.filter("role = 'fit' and y = 0")
+    best, path = fitting.fit_cosine_path(fit, np.zeros((12, 0)), [12, 8, 4], tolerance=0.2, rounds=1, first=np.arange(12.0))
+    assert [p["size"] for p in path] == [12, 8, 4] * 2 and all(len(p["active"]) == p["size"] for p in path)
+    assert path[0]["error"] < 0.2
+    assert best["feasible"] and best["size"] == min(p["size"] for p in path if p["feasible"])
+    none, _ = fitting.fit_cosine_path(fit, np.zeros((12, 0)), [2, 1], tolerance=0.0, rounds=0)
+    assert not none["feasible"]
