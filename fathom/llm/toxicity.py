@@ -252,8 +252,14 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the model calls toxic; columns of any name and type stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    """``docs`` without the documents that the model calls toxic; columns of any name and type stay as they are.
+
+    A model that has learned nothing (no toxic label, or no feature that tells) rejects nothing.
+    """
+    model = fit(docs, labels)
+    if not np.any(model.weights):
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         release_worker_memory()

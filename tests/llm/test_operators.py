@@ -732,3 +732,38 @@ def test_url_trees_learn_from_labels(spark):
     assert np.mean([(got[k] == "block") == (k % 5 == 0) for k in range(3000)]) > 0.97
     plan = url_filter.judge_urls(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_url_trees_judge_urls_that_they_have_not_seen(spark):
+    rng = random.Random(6)
+    rows = [(k, f"http://{prose(rng, 1)}{rng.randrange(10_000) if k % 4 == 0 else ''}.tld/{prose(rng, 1)}?" + ("&".join(f"a{j}={rng.randrange(10**6)}" for j in range(5)) if k % 4 == 0 else "q=1"), "h") for k in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    held = F.crc32(F.col("url").cast("binary")) % 5 == 0
+    bad = F.when(~held, F.size(F.split("url", "&")) == 5)
+    unseen = {r["page_id"] for r in pages.filter(held).collect()}
+    got = {r["page_id"]: r["verdict"] == "block" for r in url_filter.judge_urls(pages, rules=(), bad=bad).collect()}
+    assert len(unseen) > 400 and np.mean([got[k] == (k % 4 == 0) for k in unseen]) > 0.97
+
+
+def test_url_scores_are_the_sum_of_the_trees(spark):
+    rng = random.Random(7)
+    rows = [(k, f"http://{prose(rng, 1)}{'-spam' if k % 3 == 0 else ''}.tld/{'/'.join(prose(rng, 2).split())}") for k in range(300)]
+    rows += [(300, None), (301, ""), (302, "http://a.tld/" + "x9" * 50_000), (0, rows[0][1])]
+    parts = url_filter.with_parts(spark.createDataFrame(rows, "page_id long, url string"))
+    model = url_filter.fit(parts.filter("host <> ''").withColumn("bad", F.col("host").contains("spam")))
+
+    def value(node, row):
+        while isinstance(node, tuple):
+            name, threshold, left, right = node
+            node = left if row[name] <= threshold else right
+        return node
+
+    got = model.with_suffixes(url_filter._lexical(parts)).withColumn("raw", model.score()).collect()
+    assert len(got) == len(rows) and model.trees
+    for r in got:
+        assert r["raw"] == pytest.approx(model.start + sum(value(t, r) for t in model.trees), abs=1e-12)
+
+
+def test_url_filter_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, score string")
+    assert url_filter.judge_urls(none).collect() == []

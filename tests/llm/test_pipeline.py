@@ -34,3 +34,37 @@ def test_stages_take_effect(spark, tmp_path):
     assert "[ASSIGN]" in texts[502]["text"] and texts[502]["n_chars"] == len(texts[502]["text"]) and texts[503]["text"] is None
     assert mixed.count() > unique.count() and packed.count() > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def run_stages(spark, folder):
+    seen, now = [], spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        now = materialize(stage(spark, now, str(folder)), f"test-{name}")
+        seen.append(now)
+    return seen
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long, score string, `end` int, _size int"
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], KIND).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [x.count() for x in run_stages(spark, tmp_path)] == [0] * len(corpus_pipeline.STAGES)
+
+
+def test_stages_keep_nulls_repeats_and_columns_of_any_name(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    a, b, c = text(40), text(60), text(30)
+    texts = [(1, a), (1, b), (None, c), (None, c), (2, None), (3, ""), (4, a), (5, "word " * 30_000), (6, text(3))]
+    rows = [(i, t, "en", None if i == 2 else f"s{(i or 0) % 2}", len(t or ""), "x", k, k) for k, (i, t) in enumerate(texts)]
+    spark.createDataFrame(rows, KIND).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    toxic, unique, redacted, mixed, packed = run_stages(spark, tmp_path)
+    assert all(x.columns == toxic.columns for x in (unique, redacted, mixed)) and "_size" in toxic.columns
+    assert toxic.count() == len(rows)  # nothing is known to be toxic
+    kept = [r["text"] for r in unique.collect()]
+    assert sorted(t for t in kept if t) == sorted(t for t in (a, b, c, texts[7][1], texts[8][1]))
+    assert sum(not t for t in kept) == 2  # null and empty texts are linked with nothing
+    assert redacted.count() == unique.count() and packed.count() >= 5
