@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.common import materialize
-from fathom.llm.tokens import batches_of_texts, encoder
+from fathom.llm.tokens import LOT_BYTES, encoder, lots
 
 WINDOW, END_ID = 2048, 1
 #: Plans of so many rows (nine numbers each) go to every task; a larger one is joined by remainder length.
@@ -156,18 +156,17 @@ def _measured(docs: DataFrame, path: str, end_id: int, window: int, remembered:
         part = TaskContext.get().partitionId()
         ranks = np.zeros(window, dtype=np.int64)
         full = 0
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        # An encoder with little memory gets small lots too.
+        for batch in lots(batches, LOT_BYTES // 4 if remembered else LOT_BYTES):
             cols: list[list] = [[], [], [], [], [], []]
-            for a, b in batches_of_texts(texts):
-                for ids in encode(texts[a:b]):
-                    ids = np.append(ids, np.uint32(end_id))
-                    whole, rest = divmod(len(ids), window)
-                    crcs = [_crc(ids[k * window : (k + 1) * window]) for k in range(whole)]
-                    for c, v in zip(cols, (len(ids), crcs, rest, _crc(ids[whole * window :]), int(ranks[rest]), full), strict=True):
-                        c.append(v)
-                    ranks[rest] += 1
-                    full += whole
+            for ids in encode(batch.column(1)):
+                ids = np.append(ids, np.uint32(end_id))
+                whole, rest = divmod(len(ids), window)
+                crcs = [_crc(ids[k * window : (k + 1) * window]) for k in range(whole)]
+                for c, v in zip(cols, (len(ids), crcs, rest, _crc(ids[whole * window :]), int(ranks[rest]), full), strict=True):
+                    c.append(v)
+                ranks[rest] += 1
+                full += whole
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array([part] * len(batch), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "doc_tokens", "crcs", "rest", "rest_crc", "rank", "full_before", "part"])

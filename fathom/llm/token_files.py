@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.common import materialize, partitions
-from fathom.llm.tokens import batches_of_texts, encoder
+from fathom.llm.tokens import encoder, lots
 
 MAGIC = b"FTK1"
 END_ID = 2
@@ -164,16 +164,13 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
             held.clear()
             return row
 
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            names = batch.column(0).to_pylist()
-            for a, b in batches_of_texts(texts):
-                for doc_id, ids in zip(names[a:b], encode(texts[a:b]), strict=True):
-                    doc_ids.append(doc_id)
-                    held.append(np.append(ids, np.uint32(end_id)))
-                    size += len(held[-1])
-                    if size >= FILE_IDS:
-                        yield close()
+        for lot in lots(batches):
+            for doc_id, ids in zip(lot.column(0).to_pylist(), encode(lot.column(1)), strict=True):
+                doc_ids.append(doc_id)
+                held.append(np.append(ids, np.uint32(end_id)))
+                size += len(held[-1])
+                if size >= FILE_IDS:
+                    yield close()
         if held:
             yield close()
 

@@ -3,11 +3,13 @@
 Both byte-pair vocabularies split a text into pieces first and encode every piece by itself, and no piece
 reaches across white space (but for one space before a word).  So a text's ids are its chunks' ids in a
 row, a chunk being what stands between spaces (with the space before it, where the vocabulary keeps
-it) or a run of white space; and a chunk's ids are its pieces'.  For texts within a set of plain Latin
-code points, where the splitting rules are a fixed expression, each distinct chunk is looked up once and
-each distinct piece is encoded once by the tokenizers library; both are remembered in bounded caches,
-which a Python worker keeps from task to task.  Any other text goes to the library whole, and so does one
-that holds the string of a token added to the vocabulary, which the library finds before it splits.
+it) or a run of white space; and a chunk's ids are its pieces'.  A full stop or comma after a letter or a
+number begins a piece, and a line end between other characters is one, so texts are cut there as well.  For
+texts within a set of plain Latin code points, where the splitting rules are a fixed expression, Arrow cuts
+a lot of texts and numbers its distinct chunks; each of these is looked up once a lot, and each new piece is
+encoded by the tokenizers library.  Chunks are remembered in bounded caches, which a Python worker keeps from
+task to task.  Any other text goes to the library whole, and so does one that holds the string of a token
+added to the vocabulary, which the library finds before it splits.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 from fathom.llm.common import kept_in_worker, release_worker_memory
@@ -25,19 +29,24 @@ from fathom.llm.common import kept_in_worker, release_worker_memory
 #: Code points below this, but for the ones listed, take the fast way: a capital whose lower case is two
 #: code points, and separators on which Python and the vocabularies disagree.
 _PLAIN_END = 0x180
-_PLAIN = re.compile(f"[\x00-\x1b\x20-\u012f\u0131-{chr(_PLAIN_END - 1)}]*")
+_NOT_PLAIN = f"[^\x00-\x1b\x20-\u012f\u0131-{chr(_PLAIN_END - 1)}]"
 #: Distinct chunks remembered before those met only once are forgotten: fewer where case is dropped.
 CACHE_CHUNKS, CACHE_CHUNKS_LOWER = 1_100_000, 500_000
 #: Distinct pieces remembered before their cache starts afresh.
 CACHE_PIECES, CACHE_PIECES_LOWER = 700_000, 300_000
 #: Pieces handed to the library at once.
 _LOT = 4096
+#: Chunks whose ids are put together at once, if they are of several texts.
+_GATHERED = 1 << 18
+#: Bytes of Arrow batches that are encoded together.
+LOT_BYTES = 16 << 20
 #: Space before a word belongs to the word; other white space leaves its last character to what follows.
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 #: Where no space stands before other white space, texts can be split at their spaces: a chunk then means
 #: itself with a space before it.  Other chunks carry a mark that no plain text has.
-_SPACE_BEFORE_SPACE = tuple(" " + c for c in " \t\n\x0b\x0c\r\x85\xa0")
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0"
+_SPACE_BEFORE_SPACE = f" [{_WHITE}]| \\z"
 _AS_IT_IS = "\x1f"
 
 
@@ -48,6 +57,8 @@ def _class(test) -> str:
 _LETTER = _class(lambda c: unicodedata.category(c)[0] == "L")
 _NUMBER = _class(lambda c: unicodedata.category(c)[0] == "N")
 _SPACE = _class(str.isspace)
+#: Where one of these is found, a full stop, a comma or a line end may be part of a longer piece.
+_NOT_CUT = f"[^{_LETTER}{_NUMBER}][.,]|\n[{_WHITE}]|[{_WHITE}]\n"
 _SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The vocabularies' own splitting rules, for plain code points.
 _BYTE_PIECES = re.compile(f"{_SUFFIX}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -136,69 +147,110 @@ class Encoder:
         self.number.update((names[k], at) for at, k in enumerate(keep.tolist()))
         self.met = self.met[keep] // 2
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all of them in a row."""
+        sizes, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+        for at in range(0, len(pieces), _LOT):
+            part = pieces[at : at + _LOT]
+            got = self.merger.encode(_AS_IT_IS.join(part), add_special_tokens=False)
+            sizes.append(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part)))
+            ids.append(np.array(got.ids, dtype=np.uint32))
+        return np.concatenate(sizes), np.concatenate(ids)
+
     def _learn(self) -> None:
-        """Put the new chunks together from their pieces, of which the unseen ones are encoded."""
+        """Encode the new chunks: words as they are, others put together from their pieces."""
         if len(self.piece.number) > self.limits[1]:
             self.piece = _Store()
+        new = self.number.new
+        words = [chunk.isalpha() for chunk in new]
+        before = "" if self.drops_space else " "
         split, counts = [], []
-        for chunk in self.number.new:
-            letters = chunk.isalpha()
-            if not self.drops_space:
-                chunk = chunk[1:] if chunk[:1] == _AS_IT_IS else " " + chunk
-            if letters:
-                split.append(chunk)
-                counts.append(1)
-                continue
-            found = self.pieces.findall(chunk)
-            split += found
-            counts.append(len(found))
+        for chunk, is_word in zip(new, words, strict=True):
+            if not is_word:
+                if before:
+                    chunk = chunk[1:] if chunk[:1] == _AS_IT_IS else before + chunk
+                found = self.pieces.findall(chunk)
+                split += found
+                counts.append(len(found))
         which = self.piece.numbers(split)
-        unseen = self.piece.number.new
-        for at in range(0, len(unseen), _LOT):
-            part = unseen[at : at + _LOT]
-            got = self.merger.encode(_AS_IT_IS.join(part), add_special_tokens=False)
-            self.piece.add(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part)), np.array(got.ids, dtype=np.uint32))
-        unseen.clear()
+        self.piece.add(*self._encoded(self.piece.number.new))
+        self.piece.number.new.clear()
         ids, after = self.piece.gather(which)
-        ends = np.concatenate(([0], after))[np.cumsum(counts)]
-        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+        other_ends = np.concatenate(([0], after))[np.cumsum(np.array(counts, dtype=np.int64))]
+        sizes, own = self._encoded([before + chunk for chunk, is_word in zip(new, words, strict=True) if is_word])
+        # Words first, then the others, each then taken in the order of its number.
+        starts = np.concatenate(([0], np.cumsum(sizes), len(own) + other_ends))
+        is_word = np.array(words, dtype=bool)
+        place = np.where(is_word, np.cumsum(is_word) - 1, int(is_word.sum()) + np.cumsum(~is_word) - 1)
+        ids, after = _gathered(np.concatenate([own, ids]), starts, place)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + after])
         self.ids = np.concatenate([self.ids, ids])
-        self.number.new.clear()
+        new.clear()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        limit = self.limits[0]
-        if len(self.number) > limit:
-            often = np.flatnonzero(self.met[: len(self.number)] > 1)
-            self._forget(often if len(often) <= limit // 2 else np.sort(often[np.argsort(-self.met[often], kind="stable")[: limit // 2]]))
-        chunks: list[str] = []
-        ends = []
-        whole: dict[int, np.ndarray] = {}
-        for k, text in enumerate(texts):
-            if not _PLAIN.fullmatch(text) or (self.added_mark in text and self.added.search(text)):
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-            elif self.drops_space:
-                chunks += text.lower().split()
-            elif text[-1:] == " " or any(pair in text for pair in _SPACE_BEFORE_SPACE):
-                chunks += [_AS_IT_IS + chunk for chunk in _SPACED.findall(text)]
-            else:
-                words = text.split(" ")
-                words[0] = _AS_IT_IS + words[0]
-                chunks += words
-            ends.append(len(chunks))
+    def _numbered(self, chunks: list[str], times: np.ndarray | int) -> np.ndarray:
+        """The numbers of distinct chunks, all learned, each met so many times more."""
         which = np.fromiter(map(self.number.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         if self.number.new:
             self._learn()
         if len(self.met) < len(self.number):
             self.met = np.concatenate([self.met, np.zeros(len(self.number) * 3 // 2 + 1000 - len(self.met), dtype=np.int64)])
-        np.add.at(self.met, which, 1)
-        ids, after = _gathered(self.ids, self.starts, which)
-        cuts = np.concatenate(([0], after))[ends]
-        out = np.split(ids, cuts[:-1]) if len(texts) else []
-        for k, own in whole.items():
-            out[k] = own
+        self.met[which] += times
+        return which
+
+    def _chunks(self, texts: pa.Array) -> pa.Array:
+        """A list of chunks for each text; empty ones mean nothing or a mark alone."""
+        mark = "" if self.drops_space else _AS_IT_IS
+        uncut = pc.match_substring_regex(texts, _NOT_CUT)
+        if self.drops_space:
+            texts = pc.utf8_lower(texts)
+        cut = texts
+        for sign, apart in ((",", f" {mark},"), (".", f" {mark}."), ("\n", f" {mark}\n {mark}")):
+            cut = pc.replace_substring(cut, sign, apart)
+        texts = pc.if_else(uncut, texts, cut)
+        if self.drops_space:
+            return pc.utf8_split_whitespace(texts)
+        return pc.split_pattern(pc.binary_join_element_wise(pa.scalar(mark, texts.type), texts, pa.scalar("", texts.type)), " ")
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Each text's ids; nulls are empty."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return []
+        limit = self.limits[0]
+        if len(self.number) > limit:
+            often = np.flatnonzero(self.met[: len(self.number)] > 1)
+            self._forget(often if len(often) <= limit // 2 else np.sort(often[np.argsort(-self.met[often], kind="stable")[: limit // 2]]))
+        whole = _found(pc.match_substring_regex(texts, _NOT_PLAIN))
+        for k in np.flatnonzero(_found(pc.match_substring(texts, self.added_mark)) & ~whole).tolist():
+            whole[k] = self.added.search(texts[k].as_py()) is not None
+        spaced = ~whole & (not self.drops_space)
+        if spaced.any():
+            spaced &= _found(pc.match_substring_regex(texts, _SPACE_BEFORE_SPACE))
+        chunks = self._chunks(pc.if_else(pa.array(whole | spaced), pa.scalar("", texts.type), texts))
+        cuts = chunks.offsets.to_numpy()
+        numbered = pc.dictionary_encode(chunks.values)
+        del chunks
+        places = numbered.indices.to_numpy()
+        which = self._numbered(numbered.dictionary.to_pylist(), np.bincount(places, minlength=len(numbered.dictionary)))
+        out: list[np.ndarray] = []
+        edges = np.unique(np.append(np.searchsorted(cuts, np.arange(0, cuts[-1], _GATHERED)), [0, len(texts)]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            ids, after = _gathered(self.ids, self.starts, which[places[cuts[a] : cuts[b]]])
+            out += np.split(ids, np.concatenate(([0], after))[cuts[a + 1 : b] - cuts[a]])
+        for k in np.flatnonzero(spaced).tolist():
+            own = [_AS_IT_IS + chunk for chunk in _SPACED.findall(texts[k].as_py())]
+            distinct = dict.fromkeys(own)
+            number = dict(zip(distinct, self._numbered(list(distinct), 1).tolist(), strict=True))
+            out[k] = _gathered(self.ids, self.starts, np.array([number[c] for c in own], dtype=np.int64))[0]
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
         return out
 
 
+def _found(answers: pa.Array) -> np.ndarray:
+    return np.array(answers.to_numpy(zero_copy_only=False), dtype=bool)
+
+
 @functools.lru_cache(maxsize=1)
 def _encoder(path: str, remembered: int | None) -> Encoder:
     return Encoder(path, remembered)
@@ -216,13 +268,14 @@ def encoder(path: str, remembered: int | None = None) -> Encoder:
     return _encoder(path, remembered)
 
 
-def batches_of_texts(texts: list[str], characters: int = 1_000_000):
-    """Row ranges of ``texts`` of about so many characters."""
-    first = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= characters:
-            yield first, k + 1
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def lots(batches, size: int = LOT_BYTES):
+    """Arrow batches put together to about ``size`` bytes: the larger a lot, the fewer look-ups of its chunks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
