@@ -22,7 +22,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from fathom.llm.common import kept_in_worker, release_worker_memory
 
@@ -34,8 +34,6 @@ _NOT_PLAIN = f"[^\x00-\x1b\x20-\u012f\u0131-{chr(_PLAIN_END - 1)}]"
 CACHE_CHUNKS, CACHE_CHUNKS_LOWER = 1_100_000, 500_000
 #: Distinct pieces remembered before their cache starts afresh.
 CACHE_PIECES, CACHE_PIECES_LOWER = 700_000, 300_000
-#: Pieces handed to the library at once.
-_LOT = 4096
 #: Chunks whose ids are put together at once, if they are of several texts.
 _GATHERED = 1 << 18
 #: Bytes of Arrow batches that are encoded together.
@@ -65,6 +63,16 @@ _BYTE_PIECES = re.compile(f"{_SUFFIX}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}
 _WORD_PIECES = re.compile(f"{_SUFFIX}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
+def _byte_signs() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: a printable one for itself, others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in shown else next(others)) for b in range(256)]
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class _Numbers(dict):
     """Numbers chunks in the order in which they are first asked for, and lists the new ones."""
 
@@ -121,10 +129,7 @@ class Encoder:
         #: A vocabulary that normalises drops white space and letter case.
         self.drops_space = self.tokenizer.normalizer is not None
         self.pieces = _WORD_PIECES if self.drops_space else _BYTE_PIECES
-        # Pieces are normalised and split already; this one only maps their bytes and merges.
-        self.merger = Tokenizer(self.tokenizer.model)
-        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(_AS_IT_IS, "removed"), bytes_only])
+        self.model = self.tokenizer.model
         self.piece = _Store()
         #: Distinct chunks and pieces remembered.
         self.limits = (CACHE_CHUNKS_LOWER, CACHE_PIECES_LOWER) if self.drops_space else (CACHE_CHUNKS, CACHE_PIECES)
@@ -148,14 +153,19 @@ class Encoder:
         self.met = self.met[keep] // 2
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each piece has, and all of them in a row."""
-        sizes, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
-        for at in range(0, len(pieces), _LOT):
-            part = pieces[at : at + _LOT]
-            got = self.merger.encode(_AS_IT_IS.join(part), add_special_tokens=False)
-            sizes.append(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part)))
-            ids.append(np.array(got.ids, dtype=np.uint32))
-        return np.concatenate(sizes), np.concatenate(ids)
+        """How many ids each piece has, and all of them in a row.  A piece is normalised and split already: the
+        library's model merges it, without what a whole encoding carries."""
+        tokenize = self.model.tokenize
+        sizes, ids = [], []
+        for piece in pieces:
+            if piece.isascii() and piece.isprintable():
+                piece = piece.replace(" ", _BYTE_SIGNS[32])
+            else:
+                piece = piece.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            got = tokenize(piece)
+            sizes.append(len(got))
+            ids += [token.id for token in got]
+        return np.array(sizes, dtype=np.int64), np.array(ids, dtype=np.uint32)
 
     def _learn(self) -> None:
         """Encode the new chunks: words as they are, others put together from their pieces."""

@@ -767,3 +767,22 @@ def test_url_scores_are_the_sum_of_the_trees(spark):
 def test_url_filter_of_an_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string, score string")
     assert url_filter.judge_urls(none).collect() == []
+
+
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_library_on_hostile_texts(vocabulary):
+    """Cut chunks, marks, forgetting and whole texts give the library's own ids."""
+    from fathom.llm.tokens import Encoder
+
+    path = public_tokenizers.path(vocabulary)
+    encode, library = Encoder(path), Tokenizer.from_file(path)
+    encode.limits = (2000, 500)
+    chance = random.Random(11)
+    plain = [*"abZé'strel .,.,  \n0123½²-\"!?;()ªƒſĿŉ", "'s", "'ll", "\n's", ".\n", ", ", " .", "it's ", "word "]
+    hostile = [*plain, *"\t\r\x0b\x85\xa0\x00\x1b_İ\x1f日́", "\n\n", "<|endoftext|>", "<|startoftext|>"]
+    for signs in (plain, hostile) * 10:
+        texts = ["".join(chance.choices(signs, k=chance.randrange(40))) for _ in range(200)] + ["".join(chance.choices(signs, k=3000))]
+        for text, ids in zip(texts, encode.encode(texts), strict=True):
+            assert library.encode(text, add_special_tokens=False).ids == ids.tolist(), repr(text)
+    assert [len(x) for x in encode.encode(["", " "])] == [len(library.encode(t, add_special_tokens=False).ids) for t in ("", " ")]
+    assert encode.encode([]) == []
