@@ -19,6 +19,7 @@ def brute(x, groups, refs, ref_groups, k, other_group):
 #: Neighbours and whether they lie in other images, as the queries ask for them.
 FORMS = {
     "knn_detection_metrics": (1, False),
+    "knn_image_score": (1, False),
 }
 
 
