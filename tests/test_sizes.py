@@ -20,6 +20,7 @@ def brute(x, groups, refs, ref_groups, k, other_group):
 FORMS = {
     "knn_detection_metrics": (1, False),
     "knn_image_score": (1, False),
+    "knn_leave_image_out": (1, True),
 }
 
 
