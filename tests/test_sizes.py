@@ -21,6 +21,7 @@ FORMS = {
     "knn_detection_metrics": (1, False),
     "knn_image_score": (1, False),
     "knn_leave_image_out": (1, True),
+    "laplacian_score": (3, True),
 }
 
 
