@@ -22,6 +22,7 @@ FORMS = {
     "knn_image_score": (1, False),
     "knn_leave_image_out": (1, True),
     "laplacian_score": (3, True),
+    "layer_subset_local_score": (8, False),
 }
 
 
