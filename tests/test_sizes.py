@@ -23,6 +23,7 @@ FORMS = {
     "knn_leave_image_out": (1, True),
     "laplacian_score": (3, True),
     "layer_subset_local_score": (8, False),
+    "normal_temperature": (8, True),
 }
 
 
