@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from fathom.operators import neighbours
+from fathom.operators import losses, neighbours
 
 
 def brute(x, groups, refs, ref_groups, k, other_group):
@@ -38,3 +38,33 @@ def test_neighbours_hold_a_bounded_number_of_cosines(name):
     tracemalloc.stop()
     assert peak < 80 << 20
     np.testing.assert_array_equal(found["ref_id"].to_numpy().reshape(4000, k), brute(x, groups, x, groups, k, other_group))
+
+
+@pytest.fixture()
+def many(spark):
+    """Fifty references of ten images, every vector there twice or more, and queries among them."""
+    x = np.random.default_rng(5).standard_normal((9, 6)) + 1
+    v = x[np.arange(50) % 9]
+    rows = spark.createDataFrame([(k, k // 5, v[k].tolist()) for k in range(50)], "vec_id long, image_id long, v array<double>")
+    return v, np.arange(50) // 5, rows
+
+
+def test_near_ties_count_every_reference(many, monkeypatch):
+    v, groups, rows = many
+    monkeypatch.setattr(losses, "against_memory", lambda *a, whole=losses.against_memory: whole(*a, 7))
+    monkeypatch.setattr(losses, "HELD_BYTES", 1000)  # three broadcasts, of memories of at most seven rows
+    got = {r["query_id"]: r["near_ties"] for r in losses.near_ties(rows, rows).collect()}
+    same = (np.arange(50)[:, None] % 9 == np.arange(50)[None, :] % 9) & (groups[:, None] != groups[None, :])
+    assert got == dict(enumerate(same.sum(1).tolist()))
+
+
+def test_terms_over_memories_equal_those_over_one(many, monkeypatch):
+    v, groups, rows = many
+    active, p = np.array([0, 2, 5]), np.array([0.5, 0.3, 0.2])
+    ask = lambda: [losses.matching_terms(rows, rows, active, p, 0.1), losses.relation_terms(rows, rows, active, p, 0.1, 2, 4)]
+    want = [df.orderBy("query_id").toPandas().to_numpy(float) for df in ask()]
+    monkeypatch.setattr(losses, "against_memory", lambda *a, whole=losses.against_memory: whole(*a, 7))
+    monkeypatch.setattr(losses, "HELD_BYTES", 1000)
+    for df, whole in zip(ask(), want, strict=True):
+        np.testing.assert_allclose(df.orderBy("query_id").toPandas().to_numpy(float), whole, rtol=1e-9)
+    assert (want[0][:, 1] == 45).all()
