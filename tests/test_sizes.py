@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from fathom.operators import losses, neighbours
+from fathom.plans import fitting
 
 
 def brute(x, groups, refs, ref_groups, k, other_group):
@@ -68,3 +69,21 @@ def test_terms_over_memories_equal_those_over_one(many, monkeypatch):
     for df, whole in zip(ask(), want, strict=True):
         np.testing.assert_allclose(df.orderBy("query_id").toPandas().to_numpy(float), whole, rtol=1e-9)
     assert (want[0][:, 1] == 45).all()
+
+
+def test_support_searches_run_in_tasks(spark, monkeypatch):
+    """The driver starts the searches and judges what they find; it evaluates no search itself."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 8)) + 1.5
+    roles = ["fit"] * 40 + ["holdout"] * 20
+    rows = spark.createDataFrame([(k, k // 2, roles[k], 0, x[k].tolist()) for k in range(60)], "vec_id long, image_id long, role string, y int, v array<double>")
+
+    def here(*_, **__):
+        raise AssertionError("a search on the driver")
+
+    for name in ("projected_gradient", "exchange", "pursue", "polish"):
+        monkeypatch.setattr(fitting, name, here)
+    found = fitting.fit_support(rows, count=3, steps=5)
+    assert [c["id"] for c in found.pool] == list(range(len(found.pool))) and len(found.pool) % 5 == 0
+    assert {c["source"] for c in found.pool} == {"uniform", "refit", "exchange", "pursuit", "polish"}
+    assert found.weights.sum() == pytest.approx(1) and found.digest == fitting.frozen(found.pool)
