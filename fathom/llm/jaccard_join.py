@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import connected_components, discard, emit_segments, fold_segments, materialize, partitions, release_worker_memory, spanning_edges
+from fathom.llm.common import connected_components, discard, emit_segments, fold_segments, frugal, materialize, partitions, spanning_edges
 from fathom.llm.shingles import mix, row_sets
 
 #: Counters of the frequency sketch; a parameter of cost, not of the result.
@@ -96,7 +96,6 @@ def _scan(docs: DataFrame) -> DataFrame:
     bits = SIGNATURE_BITS
 
     def run(batches):
-        release_worker_memory()
         names = ["doc_id", "mark", "n", "sig", "check", "seg", "payload"]
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         mask = np.uint64((1 << SKETCH_BITS) - 1)
@@ -111,7 +110,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             held.clear()
             size = 0
 
-        for batch in batches:
+        for batch in frugal(batches):
             sizes, sigs, checks = [], [], []
             for _, own in row_sets(batch.column(1)):
                 sig, check = _signatures(own, bits) if len(own) else (None, None)
@@ -164,7 +163,7 @@ def _membership_filter(ids: DataFrame, bits: int) -> np.ndarray:
 
     def build(batches):
         own = np.zeros((1 << bits) // 8, dtype=np.uint8)
-        for batch in batches:
+        for batch in frugal(batches):
             at = _filter_places(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()
             np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
         rows = list(emit_segments(own))
@@ -190,9 +189,8 @@ def _sets_of(docs: DataFrame, ids: DataFrame, profile: DataFrame, name_of: _Name
         texts = docs.join(materialize(marks, "jaccard-marks"), "mark", "left_semi").select("text")
 
     def wanted(batches):
-        release_worker_memory()
         seen: set[int] = set()
-        for batch in batches:
+        for batch in frugal(batches):
             sigs, blobs = [], []
             for _, own in row_sets(batch.column(0)):
                 if not len(own):
@@ -303,7 +301,7 @@ def _worth_comparing(rows: DataFrame, percent: int) -> DataFrame:
                 side.clear()
             wanted.clear()
 
-        for batch in batches:
+        for batch in frugal(batches):
             k, part, kind, sig, n, token = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             cut = np.flatnonzero((k[1:] != k[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
             for a, b in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(k)])).tolist(), strict=True):
@@ -388,7 +386,7 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
             forest = spanning_edges(u, w)
             yield pa.RecordBatch.from_arrays([pa.array(u[forest]), pa.array(w[forest])], names=["u", "v"])
 
-        for batch in batches:
+        for batch in frugal(batches):
             keys = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
             for i, (own, part, kind, sig) in enumerate(keys):
                 if (own, part) != key:
@@ -413,7 +411,6 @@ def _entries(docs: DataFrame, levels: np.ndarray, buckets: int, percent: int, na
     spread = np.array([1 << max(0, -(-(min(x, 64) - 2 * SPREAD_BITS) // 2)) for x in range(256)], dtype=np.uint64)
 
     def rare_parts(batches):
-        release_worker_memory()
         level, mask = shared.value, np.uint64(len(shared.value) - 1)
         seen: set[int] = set()
         held: list[tuple[np.ndarray, int, int]] = []
@@ -434,7 +431,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, buckets: int, percent: int, na
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *cols], names=["bucket", "token", "sig", "n"])
 
         size = 0
-        for batch in batches:
+        for batch in frugal(batches):
             for _, own in row_sets(batch.column(0)):
                 n = len(own)
                 if not n or (sig := name_of(own)) in seen:
@@ -452,7 +449,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, buckets: int, percent: int, na
 
     def shared_tokens(batches):
         parts: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
+        for batch in frugal(batches):
             for row in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
                 parts.append(tuple(np.frombuffer(v.as_py(), dtype=d) for v, d in zip(row, (np.uint64, np.int64, np.int32), strict=True)))
         if not parts:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import materialize
+from fathom.llm.common import materialize, trim_worker_memory
 from fathom.llm.tokens import LOT_BYTES, encoder, lots
 
 WINDOW, END_ID = 2048, 1
@@ -170,6 +170,8 @@ def _measured(docs: DataFrame, path: str, end_id: int, window: int, remembered:
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array([part] * len(batch), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "doc_tokens", "crcs", "rest", "rest_crc", "rank", "full_before", "part"])
+            if remembered:
+                trim_worker_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, rest long, rest_crc long, rank long, full_before long, part long")
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import release_worker_memory
+from fathom.llm.common import frugal
 
 KINDS = ("assign", "access", "hex", "ghtoken", "npmtoken", "card", "iban", "jwt", "pem")
 BASE_KINDS = KINDS[:3]
@@ -201,9 +201,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text, ...)``: counts of the base kinds, their digest, and all spans."""
 
     def run(batches):
-        release_worker_memory()
         words = automaton()
-        for batch in batches:
+        for batch in frugal(batches):
             cols: list[list] = [[], [], [], [], []]
             for text in batch.column(1):
                 spans = scan(text.as_py() or "", words)
@@ -222,9 +221,8 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     follows a text that is not null; other columns stay as they are."""
 
     def run(batches):
-        release_worker_memory()
         words = automaton()
-        for batch in batches:
+        for batch in frugal(batches):
             at = batch.schema.get_field_index("text")
             texts = []
             for text in batch.column(at):

@@ -18,7 +18,7 @@ from fathom.llm.common import kept_in_worker
 
 WIDTH = 5
 #: Bytes of text hashed at a time; bounds the numpy temporaries whatever the batch size.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

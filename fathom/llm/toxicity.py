@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import least_hashed, release_worker_memory
+from fathom.llm.common import frugal, least_hashed, small_batches
 from fathom.llm.shingles import _U64, _power_table, mix, slices, utf8_parts
 
 #: Documents the model is fitted on: confirmed toxic ones and unlabelled ones.
@@ -89,6 +89,16 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def __getstate__(self) -> tuple:
+        """Few weights are not zero, and only those travel."""
+        at = np.flatnonzero(self.weights)
+        return len(self.weights), at, self.weights[at], self.bias
+
+    def __setstate__(self, state: tuple) -> None:
+        many, at, found, self.bias = state
+        self.weights = np.zeros(many, dtype=found.dtype)
+        self.weights[at] = found
+
     def scores(self, column: pa.Array) -> np.ndarray:
         total = np.full(len(column), self.bias)
         for first, _, rows, feature in _features(column, self.weights != 0):
@@ -215,8 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabe
     sample = F.broadcast(confirmed.unionByName(others))  # at most toxic_rows + unlabelled_rows ids
 
     def extract(batches):
-        release_worker_memory()
-        for batch in batches:
+        for batch in frugal(batches):
             out: list[list] = [[], []]
             flags = batch.column(1).to_pylist()
             for first, many, rows, feature in _features(batch.column(0)):
@@ -227,8 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabe
 
     # One text an id, so that the rows are no more than the ids drawn.
     texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    found = texts.select("text", "toxic").mapInArrow(extract, "toxic boolean, features binary").toLocalIterator()
-    found = sorted((r["toxic"], bytes(r["features"])) for r in found)
+    found = texts.select("text", "toxic").mapInArrow(extract, "toxic boolean, features binary")
+    with small_batches(docs.sparkSession):
+        found = sorted((r["toxic"], bytes(r["features"])) for r in found.toLocalIterator())
     sides = [[np.frombuffer(packed, dtype=np.uint32) for toxic, packed in found if toxic == side] for side in (True, False)]
     return train(*sides, prior if prior is not None else 0.5)
 
@@ -238,8 +248,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        release_worker_memory()
-        for batch in batches:
+        for batch in frugal(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
@@ -262,8 +271,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        release_worker_memory()
-        for batch in batches:
+        for batch in frugal(batches):
             found = shared.value.scores(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array(found < 0.5))
 
