@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import materialize
 
-#: (verdict, host, path prefix)
+#: (verdict, host, path prefix), unless a caller lists others, as the registered query does
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
